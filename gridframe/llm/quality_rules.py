@@ -57,8 +57,9 @@ def words(text: Column) -> Column:
 def repeat_words(ws: Column) -> Column:
     """Words inside a ``WINDOW``-word window whose text occurs at least twice.
 
-    Windows are joined strings, compared exactly. If none repeats (the usual case) the answer is 0 without a sort; else
-    equal windows are brought together by sorting, and each repeated start adds the words up to the next one.
+    Windows are first told apart by 64-bit hashes: where none repeats (the usual case) no text repeats, and the answer is
+    0. Else the windows are joined strings, compared exactly: sorting brings equal ones together, and each repeated start
+    adds the words up to the next one.
     """
     n = F.size(ws)
 
@@ -69,19 +70,23 @@ def repeat_words(ws: Column) -> Column:
             step = lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i + WINDOW - acc["end"])).alias("n"), (i + WINDOW).alias("end"))
             return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"])
 
-        return F.when(F.size(F.array_distinct(wins)) == F.size(wins), F.lit(0)).otherwise(
-            _let(F.array_sort(F.transform(wins, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), spread))
+        return _let(F.array_sort(F.transform(wins, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), spread)
+
+    def told_apart(hs: Column) -> Column:
+        wins = F.transform(F.slice(hs, F.lit(1), n - WINDOW + 1), lambda h, i: F.xxhash64(h, *[F.get(hs, i + k) for k in range(1, WINDOW)]))
+        return _let(wins, lambda x: F.size(F.array_distinct(x)) == F.size(x))
 
     wins = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.array_join(F.slice(ws, i, WINDOW), " "))
-    return F.when(n > WINDOW, _let(wins, counted)).otherwise(F.lit(0)).cast("long")
+    none = _let(F.transform(ws, lambda w: F.xxhash64(w)), told_apart)
+    return F.when(n <= WINDOW, F.lit(0)).when(none, F.lit(0)).otherwise(_let(wins, counted)).cast("long")
 
 
 def _of_words(ws: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    stop = sorted(set(STOP_WORDS))
     return F.struct(
         F.size(ws).cast("long").alias("n_words"),
         repeat_words(ws).alias("n_repeat_words"),
-        F.size(F.filter(ws, lambda w: F.array_contains(stop, F.lower(w)))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(ws, lambda w: F.lower(w).isin(stop))).cast("long").alias("n_stop_words"),
     )
 
 
@@ -90,42 +95,42 @@ def _of_lines(lines: Column) -> Column:
     return _let(full, lambda own: F.struct(F.size(own).cast("long").alias("n_lines"), (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines")))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Structs and longs over a text; a null text counts as an empty one."""
-    text = F.coalesce(text, F.lit(""))
-    bare = F.translate(text, SPACES, "")
-    return {
-        "_gf_words": _let(words(text), _of_words),
-        "_gf_lines": _let(F.split(text, "\n"), _of_lines),
-        "_gf_chars": F.struct(_length(bare).alias("word_chars"), (_length(text) - _length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"), (_length(text) - _length(F.replace(text, F.lit("!!"), F.lit("!")))).alias("n_shouts")),
-    }
-
+def _joined(parts: Column, rules: tuple[Rule, ...]) -> Column:
+    """All measures and both verdicts, from the structs of ``measures``."""
+    m = {n: parts[at][n] for at, names in _PARTS.items() for n in names}
+    failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+    kept = ~failed
+    for r in rules:
+        x, per = 100 * m[r.measure], m[r.per]
+        kept &= (m["n_words"] < r.from_words) | ((x >= r.least * per) & (x <= r.most * per))
+    return F.struct(*[c.alias(n) for n, c in m.items()], failed.alias("base_failed"), kept.alias("kept"))
 
-def _fields(m: str) -> Column:
-    at = "_gf_words" if m in ("n_words", "n_repeat_words", "n_stop_words") else "_gf_lines" if m in ("n_lines", "n_dup_lines") else "_gf_chars"
-    return F.col(at)[m]
 
+_PARTS = {
+    "words": ["n_words", "n_repeat_words", "n_stop_words"],
+    "lines": ["n_lines", "n_dup_lines"],
+    "chars": ["word_chars", "n_symbols", "n_shouts"],
+}
 
-def verdict(rules=RULES) -> Column:
-    """True where no rule of the table is broken; a rule divides by nothing, so empty texts pass it."""
-    ok = F.lit(True)
-    for r in rules:
-        x, per = 100 * _fields(r.measure), _fields(r.per)
-        ok &= (_fields("n_words") < r.from_words) | ((x >= r.least * per) & (x <= r.most * per))
-    return ok
 
+def measures(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The threshold table compiled into one struct: every measure, ``base_failed`` and ``kept``; null is an empty text.
 
-def measured(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` with the measures, ``_gf_base_failed`` and ``_gf_kept``."""
-    n = _fields("n_words")
-    out = docs.withColumns(measures(F.col("text")))
-    out = out.withColumn("_gf_base_failed", (n < 10) | (100 * _fields("n_repeat_words") > 20 * n))
-    return out.withColumn("_gf_kept", ~F.col("_gf_base_failed") & verdict(rules))
+    A rule whose denominator is 0 passes.
+    """
+    text = F.coalesce(text, F.lit(""))
+    chars = F.struct(
+        _length(F.translate(text, SPACES, "")).alias("word_chars"),
+        (_length(text) - _length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
+        (_length(text) - _length(F.replace(text, F.lit("!!"), F.lit("!")))).alias("n_shouts"),
+    )
+    parts = F.struct(_let(words(text), _of_words).alias("words"), _let(F.split(text, "\n"), _of_lines).alias("lines"), chars.alias("chars"))
+    return _let(parts, lambda p: _joined(p, rules))
 
 
-def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that keep; all columns stay. A null or empty text has no words and goes."""
-    return measured(docs, rules).filter("_gf_kept").select(*docs.columns)
+    return docs.filter(measures(F.col("text"), rules)["kept"])
 
 
 def op2_quality_rules(docs: DataFrame) -> DataFrame:
@@ -133,8 +138,9 @@ def op2_quality_rules(docs: DataFrame) -> DataFrame:
 
     Null or empty texts have 0 of everything and fail the base rule; null ids and repeated rows pass through.
     """
-    cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return measured(docs.select("doc_id", "text")).select("doc_id", *[_fields(c).alias(c) for c in cols], F.col("_gf_base_failed").alias("base_failed"), F.col("_gf_kept").alias("kept"))
+    cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    found = docs.select("doc_id", measures(F.col("text")).alias("m"))
+    return found.select("doc_id", *[F.col(f"m.{c}").alias(c) for c in cols])
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
