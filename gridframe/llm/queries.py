@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from gridframe.llm import quality_rules, simhash
+from gridframe.llm import language_id, media, mixing, quality_rules, simhash, token_counts
 from gridframe.llm.common import tables
 
 QUERIES = {
     "op1_simhash": lambda spark, d: simhash.op1_simhash(tables(spark, d, "documents")),
     "op2_quality_rules": lambda spark, d: quality_rules.op2_quality_rules(tables(spark, d, "documents")),
+    "op4_language_id": lambda spark, d: language_id.op4_language_id(tables(spark, d, "documents")),
+    "op5_media": lambda spark, d: media.op5_media(tables(spark, d, "documents")),
+    "op6_mixing": lambda spark, d: mixing.op6_mixing(tables(spark, d, "documents")),
+    "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(tables(spark, d, "documents")),
 }
 
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
