@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, extra: dict | None =
     low = named.groupBy("label").agg(F.min("first").alias("low"))
     lows = named.join(low, "label").select("fp", "label", "low")
     groups = firsts.join(lows, "fp", "left").select("fp", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"), F.coalesce("label", "fp").alias("label"))
+    groups = stored(groups, "simhash-groups")  # so that the join below is of two plain exchanges, which AQE can split
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id", "label", *(extra or {}))
 
 
