@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridframe.llm import language_id, media, mixing, quality_rules, simhash, token_counts
+from gridframe.llm import language_id, media, mixing, quality_rules, simhash, token_counts, toxicity
 from gridframe.llm.common import tables
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": lambda spark, d: language_id.op4_language_id(tables(spark, d, "documents")),
     "op5_media": lambda spark, d: media.op5_media(tables(spark, d, "documents")),
     "op6_mixing": lambda spark, d: mixing.op6_mixing(tables(spark, d, "documents")),
+    "op7_toxicity": lambda spark, d: toxicity.op7_toxicity(tables(spark, d, "documents"), tables(spark, d, "labels")),
     "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(tables(spark, d, "documents")),
 }
 
