@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridframe.llm import language_id, media, mixing, quality_rules, simhash, token_counts, toxicity
+from gridframe.llm import language_id, media, mixing, quality_model, quality_rules, simhash, token_counts, toxicity
 from gridframe.llm.common import tables
 
 QUERIES = {
     "op1_simhash": lambda spark, d: simhash.op1_simhash(tables(spark, d, "documents")),
     "op2_quality_rules": lambda spark, d: quality_rules.op2_quality_rules(tables(spark, d, "documents")),
+    "op3_quality_model": lambda spark, d: quality_model.op3_quality_model(tables(spark, d, "documents"), tables(spark, d, "labels")),
     "op4_language_id": lambda spark, d: language_id.op4_language_id(tables(spark, d, "documents")),
     "op5_media": lambda spark, d: media.op5_media(tables(spark, d, "documents")),
     "op6_mixing": lambda spark, d: mixing.op6_mixing(tables(spark, d, "documents")),
