@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridframe.llm import language_id, media, mixing, quality_model, quality_rules, simhash, token_counts, toxicity
+from gridframe.llm import language_id, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, toxicity
 from gridframe.llm.common import tables
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_media": lambda spark, d: media.op5_media(tables(spark, d, "documents")),
     "op6_mixing": lambda spark, d: mixing.op6_mixing(tables(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: toxicity.op7_toxicity(tables(spark, d, "documents"), tables(spark, d, "labels")),
+    "op8_sentencepiece": lambda spark, d: pieces.op8_sentencepiece(tables(spark, d, "documents")),
     "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(tables(spark, d, "documents")),
 }
 
