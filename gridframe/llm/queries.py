@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridframe.llm import language_id, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, toxicity
+from gridframe.llm import language_id, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, toxicity, warc
 from gridframe.llm.common import tables
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_toxicity": lambda spark, d: toxicity.op7_toxicity(tables(spark, d, "documents"), tables(spark, d, "labels")),
     "op8_sentencepiece": lambda spark, d: pieces.op8_sentencepiece(tables(spark, d, "documents")),
     "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(tables(spark, d, "documents")),
+    "op10_warc": lambda spark, d: warc.op10_warc(tables(spark, d, "pages")),
 }
 
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
