@@ -1,5 +1,52 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, quality rules, near-duplicates, mixing, tokens.
+
+Every stage takes what its predecessor kept; ``run`` writes each stage's rows to the shared folder and reads them back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridframe.llm import language_id, mixing, pieces, quality_rules, simhash
+from gridframe.llm.common import stored, tables
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the corpus itself teaches; texts without letters or far from every language go."""
+    return language_id.keep_known(docs)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every quality rule."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group whose fingerprints are linked."""
+    return simhash.keep_first(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them; a document of a second epoch is a second row."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``ids``, ``n_ids`` of each row."""
+    return pieces.encode_corpus(docs)
+
+
+STAGES = [("language ID", language), ("quality rules", quality), ("near-duplicates", near_duplicates), ("mixing", mixture), ("tokens", tokens)]
+
+#: Trained profiles and fingerprints are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = tables(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{k}")
+    return docs
