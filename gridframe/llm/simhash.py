@@ -82,13 +82,13 @@ def fingerprints(docs: DataFrame, extra: dict | None = None) -> DataFrame:
     """``doc_id``, ``fp`` (the fingerprint's bits as a long) and the expressions of ``extra`` for every row of ``docs``."""
     extra = extra or {}
     cols = docs.select("doc_id", utf8().alias("text"), *[c.alias(n) for n, c in extra.items()])
-    kinds = {f.name: f.dataType.simpleString() for f in cols.schema}
+    kinds, names = {f.name: f.dataType.simpleString() for f in cols.schema}, list(extra)  # the columns themselves stay here
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), *[b.column(n) for n in extra]], ["doc_id", "fp", *extra])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), *[b.column(n) for n in names]], ["doc_id", "fp", *names])
 
-    return map_batches(cols, run, ", ".join([f"doc_id {kinds['doc_id']}", "fp long", *[f"{n} {kinds[n]}" for n in extra]]))
+    return map_batches(cols, run, ", ".join([f"doc_id {kinds['doc_id']}", "fp long", *[f"{n} {kinds[n]}" for n in names]]))
 
 
 # --- vantage-point trees ---------------------------------------------------------------------------------------------
