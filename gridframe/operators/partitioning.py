@@ -76,7 +76,7 @@ BROADCAST = 64 << 20
 
 def all_gather(df: DataFrame, most: int = BROADCAST) -> DataFrame:
     """``df`` marked to be sent whole to every executor, if the optimizer's estimate of its size is at most ``most`` bytes; else ``df`` as it is, which joins by a shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= most else df
 
 

@@ -212,14 +212,15 @@ def is_in(df: DataFrame, values: Sequence | Mapping[str, Sequence], skip_null: b
     null and ``skip_null`` is false.
     """
 
-    def one(name: str, kind: T.DataType) -> Column:
-        given = values.get(name, []) if isinstance(values, Mapping) else values
-        own = [v for v in given if v is not None and _comparable(v, kind)]
-        c = col(name)
-        hit = F.coalesce(c.isin(own), F.lit(False)) if own else F.lit(False)
-        return hit | c.isNull() if not skip_null and None in list(given) else hit
-
-    return df.select(*[one(f.name, f.dataType).alias(f.name) for f in df.schema])
+    own = lambda c: values.get(c, []) if isinstance(values, Mapping) else values
+    return df.select(*[member(col(f.name), f.dataType, own(f.name), skip_null).alias(f.name) for f in df.schema])
+
+
+def member(c: Column, kind: T.DataType, values: Sequence, skip_null: bool = True) -> Column:
+    """``is_in`` of one column."""
+    own = [v for v in values if v is not None and _comparable(v, kind)]
+    hit = F.coalesce(c.isin(own), F.lit(False)) if own else F.lit(False)
+    return hit | c.isNull() if not skip_null and None in list(values) else hit
 
 
 def _comparable(v, kind: T.DataType) -> bool:

@@ -22,6 +22,8 @@ def windowed(events: DataFrame, time: str, window: str, keys: list[str], spec: M
 
     Columns: ``window_start``, ``window_end``, the keys, then ``op_column``.
     """
+    if isinstance(events.schema[time].dataType, T.TimestampNTZType):  # watermarks need instants: take the session's zone
+        events = events.withColumn(time, F.col(time).cast("timestamp"))
     own = events.withWatermark(time, late).groupBy(F.window(time, window, slide or window).alias("w"), *keys)
     out = own.agg(*[expression(events, c, op).alias(f"{op}_{c}") for c, op in spec.items()])
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *[f"{op}_{c}" for c, op in spec.items()])
