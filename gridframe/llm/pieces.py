@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import map_batches
 
 VOCABULARY = "piece_bpe_32k.model"
-TABLE = 400_000
+TABLE = 1_500_000
 #: Bytes of new words indexed at once.
 TEXT = 300_000
-#: Longest word, in characters, whose merges are found by scanning; longer ones use a heap.
-SCAN = 48
+#: Words of at most so many characters are merged together, as rows of a matrix; longer ones use a heap.
+ROWS = (6, 10, 16, 32)
 SPACE = "▁"
 # fixed values: numbers of piece types and model types in the model file
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -112,7 +112,7 @@ class Vocabulary:
         self.masks = np.frombuffer(b"".join((b"\xff" * len(t)).ljust(8 * self.words, b"\0") for t in texts), ">u8").reshape(-1, self.words).astype(np.uint64)
         # place among all scores, best first; equal scores share a place. Index 0 stands for no piece.
         order = {s: k for k, s in enumerate(sorted({self.scores[i] for i in self.ids}, reverse=True))}
-        self.place = [_NONE] + [order[s] if t == NORMAL else _NONE for s, t in zip(self.scores, self.types, strict=True)]
+        self.place = np.array([_NONE] + [order[s] if t == NORMAL else _NONE for s, t in zip(self.scores, self.types, strict=True)], np.int32)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         self.lowest = min((self.scores[i] for i in self.ids), default=0.0) - 10.0  # score of a character without a piece
@@ -212,12 +212,22 @@ class Encoder:
         table = np.zeros(len(text) * wide, np.int32)  # id + 1 by start and length
         starts, sizes, ids = edges(self.v, text)
         table[starts * wide + sizes] = ids + 1
-        table = memoryview(table)
-        relax = self._merge if self.v.kind == BPE else self._best
-        at = 0
-        for w, c in zip(words, coded, strict=True):
-            self.known[w] = np.array(relax(c, at, table, wide), np.int32).tobytes()
-            at += len(c) + 1
+        ends = np.cumsum([len(c) + 1 for c in coded]) - 1
+        begins = np.concatenate(([0], ends[:-1] + 1))
+        chars = np.flatnonzero(text & 0xC0 != 0x80)
+        low, high = np.searchsorted(chars, begins), np.searchsorted(chars, ends)
+        view, size, done = memoryview(table), high - low, 0
+        for most in ROWS if self.v.kind == BPE else ():
+            rows = np.flatnonzero((size > done) & (size <= most))
+            cuts = chars[np.minimum(low[rows, None] + np.arange(most + 1), high[rows, None])]
+            for r, cut in self._merge(rows, cuts, table, wide):
+                at = int(begins[r])
+                self.known[words[r]] = cut if isinstance(cut, bytes) else np.array(self._ids(coded[r], at, cut, view, wide), np.int32).tobytes()
+            done = most
+        for r in np.flatnonzero(size > done).tolist():
+            own = chars[low[r] : high[r] + 1].tolist()
+            relax = self._merge_long if self.v.kind == BPE else self._best
+            self.known[words[r]] = np.array(relax(coded[r], int(begins[r]), own, view, wide), np.int32).tobytes()
 
     def _none(self, char: bytes) -> list[int]:
         """Ids of a character without a piece."""
@@ -233,28 +243,52 @@ class Encoder:
                 out += self._none(c[a - at : b - at])
         return out
 
-    def _merge(self, c: bytes, at: int, table: memoryview, wide: int) -> list[int]:
-        """BPE: take the best edge over two neighbouring pieces until none is left."""
-        cuts = [at + k for k, b in enumerate(c) if b & 0xC0 != 0x80] + [at + len(c)]
+    def _merge(self, rows: np.ndarray, cuts: np.ndarray, table: np.ndarray, wide: int):
+        """BPE for many short words: in every round each row takes its best edge over two neighbouring pieces.
+
+        ``cuts`` holds, row by row, where a word's pieces begin, filled up with its end.  Yields each row with its ids as
+        bytes, or with its cuts where a character has no piece.
+        """
         place = self.v.place
-        if len(cuts) > SCAN:
-            return self._merge_long(c, at, cuts, table, wide)
-        pairs = [place[table[a * wide + b - a]] if b - a < wide else _NONE for a, b in zip(cuts, cuts[2:], strict=False)]
-        while pairs:
-            best = min(pairs)
-            if best == _NONE:
-                break
-            k = pairs.index(best)
-            del cuts[k + 1], pairs[k]
+
+        def offers(c: np.ndarray) -> np.ndarray:
+            a, n = c[0], c[2] - c[0]
+            return np.where((c[2] > c[1]) & (n < wide), place[table[a * wide + np.minimum(n, wide - 1)]], _NONE)
+
+        pairs = offers((cuts[:, :-2], cuts[:, 1:-1], cuts[:, 2:])) if cuts.shape[1] > 2 else np.full((len(cuts), 1), _NONE, np.int32)
+        while len(rows):
+            best = pairs.argmin(axis=1)
+            going = pairs[np.arange(len(rows)), best] < _NONE
+            if not going.all():
+                yield from self._coded(rows[~going], cuts[~going], table, wide)
+                rows, cuts, pairs, best = rows[going], cuts[going], pairs[going], best[going]
+                if not len(rows):
+                    return
+            r, k = np.arange(len(rows)), best
+            shift = np.arange(cuts.shape[1])[None, :] > k[:, None]
+            cuts = np.where(shift, np.append(cuts[:, 1:], cuts[:, -1:], axis=1), cuts)
+            shift = shift[:, : pairs.shape[1]]
+            pairs = np.where(shift, np.append(pairs[:, 1:], np.full((len(r), 1), _NONE, pairs.dtype), axis=1), pairs)
             for j in (k - 1, k):
-                if 0 <= j < len(pairs):
-                    a, n = cuts[j], cuts[j + 2] - cuts[j]
-                    pairs[j] = place[table[a * wide + n]] if n < wide else _NONE
-        return self._ids(c, at, cuts, table, wide)
+                on = (j >= 0) & (j < pairs.shape[1])
+                q, i = r[on], j[on]
+                pairs[q, i] = offers((cuts[q, i], cuts[q, i + 1], cuts[q, i + 2]))
+
+    def _coded(self, rows: np.ndarray, cuts: np.ndarray, table: np.ndarray, wide: int):
+        a, n = cuts[:, :-1], np.diff(cuts, axis=1)
+        ids = np.where(n > 0, table[a * wide + np.minimum(n, wide - 1)] * (n < wide), -1)
+        whole = ~(ids == 0).any(axis=1)
+        flat = (ids[whole][ids[whole] > 0] - 1).astype(np.int32).tobytes()
+        end = 0
+        for r, k in zip(rows[whole].tolist(), (4 * (ids[whole] > 0).sum(axis=1)).tolist(), strict=True):
+            yield r, flat[end : end + k]
+            end += k
+        for r, c in zip(rows[~whole].tolist(), cuts[~whole].tolist(), strict=True):
+            yield r, sorted(set(c))
 
     def _merge_long(self, c: bytes, at: int, cuts: list[int], table: memoryview, wide: int) -> list[int]:
-        """As ``_merge``, with a heap of edges and linked pieces."""
-        place, n = self.v.place, len(cuts) - 1
+        """As ``_merge``, of one long word, with a heap of edges and linked pieces."""
+        place, n = memoryview(self.v.place), len(cuts) - 1
         after, before, alive = list(range(1, n + 1)), list(range(-1, n)), [True] * (n + 1)
         heap: list[tuple[int, int, int]] = []
 
@@ -280,9 +314,8 @@ class Encoder:
         left = [cuts[k] for k in range(n) if alive[k]] + [cuts[n]]
         return self._ids(c, at, left, table, wide)
 
-    def _best(self, c: bytes, at: int, table: memoryview, wide: int) -> list[int]:
+    def _best(self, c: bytes, at: int, cuts: list[int], table: memoryview, wide: int) -> list[int]:
         """Unigram: relax the edges from left to right; the best path ends at the word's end."""
-        cuts = [at + k for k, b in enumerate(c) if b & 0xC0 != 0x80] + [at + len(c)]
         best, came = {at: 0.0}, {}
         for i, a in enumerate(cuts[:-1]):
             for b in cuts[i + 1 :]:
