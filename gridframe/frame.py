@@ -468,7 +468,7 @@ class DataFrame:
         """The frame with positions as its labels."""
         s = self._settled()
         name = fresh(s._src, _ORDINAL)
-        src = sorting.with_ordinal(s._src, name)
+        src = sorting.with_ordinal(s._src, name).orderBy(name)
         return self._of(src, s._cols, [(name, col(name))])
 
     def set_index(self, key, indexing_type=None, drop: bool = True) -> DataFrame:
@@ -720,7 +720,8 @@ def _together(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = sorting.with_ordinal(y._src.toDF(*[f"_b{i}" for i in range(len(y._src.columns))]), "_q")
     if left.count() != right.count():
         raise ValueError("frames of different lengths")
-    src = left.join(right, F.col("_p") == F.col("_q"))
+    # a later operation by position needs this order; the optimizer drops the sort where nothing does
+    src = left.join(right, F.col("_p") == F.col("_q")).orderBy("_p")
     over = lambda f, m: ([(c, F.col(f"{m}{f._src.columns.index(c)}")) for c in f.columns], [(n, F.col(f"{m}{i}")) for i, (n, _) in enumerate(f._index)])
     return DataFrame._of(src, *over(x, "_a")), DataFrame._of(src, *over(y, "_b"))
 
@@ -882,7 +883,7 @@ class _Loc(_Picker):
                 rows = rows.filter(F.col("_o") >= found[item.start])
             if item.stop is not None:
                 rows = rows.filter(F.col("_o") <= found[item.stop])
-            return f._of(rows, s._cols, kept)
+            return f._of(rows.orderBy("_o"), s._cols, kept)
         labels = item if isinstance(item, list) else [item]
         rows = s._src.filter(label.isin(labels))
         if len(labels) > 1:

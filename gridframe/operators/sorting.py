@@ -51,7 +51,8 @@ def with_ordinal(df: DataFrame, name: str = "ordinal", by: Key | Sequence[Key] |
     """``df`` with each row's position from 0, in the order of ``by`` or else of the source.
 
     Without a window over all rows: the (sorted) frame is written once to the shared folder, partition by partition, with
-    each row's place in its partition; the partitions' row counts, one row a partition, give the offsets.
+    each row's place in its partition; the partitions' row counts, one row a partition, give the offsets.  The result
+    itself lies in no particular order.
     """
     rows = df if by is None else sort(df, by, ascending)
     placed = stored(rows.withColumn("_mid", F.monotonically_increasing_id()), "ordinal")
@@ -73,7 +74,7 @@ def slice_rows(df: DataFrame, offset: int, length: int, by: Key | Sequence[Key]
         raise ValueError(f"slice of {length} rows from {offset}")
     if offset + length <= 1_000_000:
         return (df if by is None else sort(df, by, ascending)).offset(offset).limit(length)
-    return with_ordinal(df, "_ordinal", by, ascending).filter((F.col("_ordinal") >= offset) & (F.col("_ordinal") < offset + length)).drop("_ordinal")
+    return with_ordinal(df, "_ordinal", by, ascending).filter((F.col("_ordinal") >= offset) & (F.col("_ordinal") < offset + length)).orderBy("_ordinal").drop("_ordinal")
 
 
 def merge_sorted(parts: Sequence[DataFrame], by: Key | Sequence[Key], ascending: bool | Sequence[bool] = True) -> DataFrame:
