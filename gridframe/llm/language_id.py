@@ -35,6 +35,8 @@ def _is_letter() -> np.ndarray:
 
 def _runs(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and their number (or the sum of their counts)."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
     if counts is None:
         keys = np.sort(keys)
     else:
