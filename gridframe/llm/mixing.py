@@ -59,6 +59,7 @@ def cuts(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     t = t.select(F.col("source").alias("t_source"), "source_size", "target", epochs.alias("epochs"))
     t = t.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("cut", F.lit("")).withColumn("before", F.lit(0).cast("long"))
     for digits in LEVELS:
+        t = stored(t, "mixing-cuts")  # a row a source, whose size Spark then knows: small ones are broadcast, large ones are not
         own = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source"))).filter(F.col("_gf_key").startswith(F.col("cut")))
         ranges = own.groupBy("t_source", F.substring("_gf_key", 1, digits).alias("range")).agg(F.sum("_gf_size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
         run = Window.partitionBy("t_source").orderBy("range")
@@ -68,7 +69,7 @@ def cuts(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
         found = found.select(F.col("t_source").alias("f_source"), F.col("f.range").alias("f_cut"), F.col("f.before").alias("f_before"))
         t = t.join(found, F.col("t_source").eqNullSafe(F.col("f_source")), "left").select(
             "t_source", "source_size", "target", "epochs", "rest", F.coalesce("f_cut", F.lit("g")).alias("cut"), F.coalesce("f_before", "before").alias("before"))
-    return t
+    return stored(t, "mixing-cuts")
 
 
 def decided(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -99,13 +100,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     repeated rows are separate documents; an empty table gives none.
     """
     sizes = sized(docs)
-    found = stored(cuts(sizes, weights, cap), "mixing-cuts")
+    found = cuts(sizes, weights, cap)
     return decided(sizes, found).select("doc_id", F.col("_gf_size").alias("size"), F.col("_gf_source_size").alias("source_size"), F.col("_gf_target").alias("target"), (F.col("_gf_size") * F.col("_gf_times")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus: rows of ``docs`` as often as the mix takes them, all columns kept."""
-    found = stored(cuts(sized(docs), weights, cap), "mixing-cuts")
+    found = cuts(sized(docs), weights, cap)
     rows = docs.withColumns({"_gf_size": size_of(F.col("text")), "_gf_key": key_of()})
     taken = decided(rows, found).filter("_gf_times > 0")
     return taken.withColumn("_gf_epoch", F.explode(F.sequence(F.lit(1), F.col("_gf_times")))).select(*docs.columns)
