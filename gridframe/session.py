@@ -16,13 +16,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; its rows stay as they are if an executor is lost."""
+    """``df`` written once to the shared folder and read back; its rows stay as they are if an executor is lost.
+
+    The copy stays until ``discard``, since lazy frames may still need it.
+    """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete what this process has stored in the shared folder; frames made of it can no longer be read."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with this library's defaults; on a cluster, make the session as usual."""
     built = SparkSession.builder.master(f"local[{cores}]").appName("gridframe")
