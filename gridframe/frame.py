@@ -201,14 +201,14 @@ class DataFrame:
     def to_table(self) -> DataFrame:
         return self
 
-    def to_csv(self, path: str, options: CSVWriteOptions | None = None, env: Env | None = None) -> None:
-        sinks.write_csv(self.to_spark(), path, options)
+    def to_csv(self, path: str, options: CSVWriteOptions | None = None, name_function: Callable[[int], str] | None = None, env: Env | None = None) -> None:
+        sinks.write_csv(self.to_spark(), path, options, name_function=name_function)
 
-    def to_parquet(self, path: str, options=None, env: Env | None = None) -> None:
-        sinks.write_parquet(self.to_spark(), path, options)
+    def to_parquet(self, path: str, options=None, name_function: Callable[[int], str] | None = None, env: Env | None = None) -> None:
+        sinks.write_parquet(self.to_spark(), path, options, name_function=name_function)
 
-    def to_json(self, path: str, env: Env | None = None) -> None:
-        sinks.write_json(self.to_spark(), path)
+    def to_json(self, path: str, name_function: Callable[[int], str] | None = None, env: Env | None = None) -> None:
+        sinks.write_json(self.to_spark(), path, name_function=name_function)
 
     def iterrows(self):
         """(label, values) of each row, fetched a partition at a time; without labels, the position."""
@@ -667,10 +667,8 @@ class DataFrame:
         return {i: self._of(p) for i, p in partitioning.hash_partition(self.to_spark(), self._names(on), n).items()}
 
     def repartition(self, rows_per_partition, receive_build_rank_order=None, env: Env | None = None) -> DataFrame:
-        rows = list(rows_per_partition)
-        if receive_build_rank_order is not None:
-            raise NotImplementedError("partitions have no ranks to be reordered")
-        return self._keep_index(lambda p: partitioning.repartition(p, rows))
+        """Exactly so many rows in each partition, handed out in order or in the given order of partitions."""
+        return self._keep_index(lambda p: partitioning.repartition(p, list(rows_per_partition), receive_order=receive_build_rank_order))
 
     def evenly_partition(self, n: int | None = None, env: Env | None = None) -> DataFrame:
         return self._keep_index(lambda p: partitioning.repartition_evenly(p, n or self._src.sparkSession.sparkContext.defaultParallelism))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,15 +42,23 @@ def range_partition(df: DataFrame, columns: Key | Sequence[Key], n: int | None =
     return df.repartitionByRange(_parallelism(df, n), *[c.asc_nulls_last() if ascending else c.desc_nulls_first() for c in cols])
 
 
-def repartition(df: DataFrame, rows: Sequence[int] | Mapping[int, int], by: Key | Sequence[Key] | None = None) -> DataFrame:
-    """Partition i gets exactly ``rows[i]`` rows, the order of the source (or of ``by``) kept throughout; ValueError if the sum is not the number of rows, which is checked at once."""
+def repartition(df: DataFrame, rows: Sequence[int] | Mapping[int, int], by: Key | Sequence[Key] | None = None, receive_order: Sequence[int] | None = None) -> DataFrame:
+    """Partition i gets exactly ``rows[i]`` rows, the order of the source (or of ``by``) kept throughout.
+
+    Rows are handed out to partitions 0, 1, 2 ... or in ``receive_order``.  ValueError if that is no order of all
+    partitions, or if the sum is not the number of rows, which is checked at once.
+    """
     counts = [rows[i] for i in range(len(rows))]
+    order = list(range(len(counts))) if receive_order is None else list(receive_order)
+    if sorted(order) != list(range(len(counts))):
+        raise ValueError(f"{order} is no order of {len(counts)} partitions")
     name = fresh(df, "_ordinal")
     placed = with_ordinal(df, name, by)
     if (total := placed.count()) != sum(counts):
         raise ValueError(f"{sum(counts)} rows asked for, {total} there")
-    ends = [sum(counts[: i + 1]) for i in range(len(counts))]
-    target = F.array_size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= col(name)))
+    ends = list(itertools.accumulate(counts[i] for i in order))
+    turn = F.array_size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= col(name)))
+    target = F.get(F.array(*[F.lit(i) for i in order]), turn)
     # repartitionById puts rows exactly where the number says
     return placed.repartitionById(len(counts), target.cast("int")).sortWithinPartitions(col(name)).drop(name)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,26 +12,46 @@ from pyspark.sql import DataFrame
 from gridframe.sources.options import CSVWriteOptions, ParquetOptions
 
 
-def write_csv(df: DataFrame, path: str, options: CSVWriteOptions | None = None, mode: str = "overwrite") -> None:
-    """A folder of CSV files with headers, one a partition."""
+NameFunction = Callable[[int], str] | None
+
+
+def _named(df: DataFrame, path: str, name: NameFunction) -> None:
+    """Part files in the order of their partitions renamed to ``name(0)``, ``name(1)`` ..."""
+    if name is None:
+        return
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    if len({name(i) for i in range(len(parts))}) < len(parts):
+        raise ValueError("the function gives two files one name")
+    for i, part in enumerate(parts):
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(folder, part), spark._jvm.org.apache.hadoop.fs.Path(folder, name(i)))
+
+
+def write_csv(df: DataFrame, path: str, options: CSVWriteOptions | None = None, mode: str = "overwrite", name_function: NameFunction = None) -> None:
+    """A folder of CSV files with headers, one a partition, named by Spark or by a function of the partition's number."""
     o = options or CSVWriteOptions()
     if o.column_names:
         if len(o.column_names) != len(df.columns):
             raise ValueError(f"{len(o.column_names)} names for {len(df.columns)} columns")
         df = df.toDF(*o.column_names)
     df.write.mode(mode).option("header", True).option("sep", o.delimiter).csv(path)
+    _named(df, path, name_function)
 
 
-def write_parquet(df: DataFrame, path: str, options: ParquetOptions | None = None, mode: str = "overwrite") -> None:
+def write_parquet(df: DataFrame, path: str, options: ParquetOptions | None = None, mode: str = "overwrite", name_function: NameFunction = None) -> None:
     """A folder of Parquet files, one a partition or more."""
     o = options or ParquetOptions()
     w = df.write.mode(mode).options(**o.writer)
     (w.option("maxRecordsPerFile", o.chunk_size) if o.chunk_size else w).parquet(path)
+    _named(df, path, name_function)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", name_function: NameFunction = None) -> None:
     """A folder of files of JSON lines, nulls included."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    _named(df, path, name_function)
 
 
 def to_arrow(df: DataFrame) -> pa.Table:

@@ -198,6 +198,16 @@ def test_files(data, tmp_path):
         assert g.equals(f, ordered=False), g
 
 
+def test_named_files(data, tmp_path):
+    f = gf.DataFrame(data).repartition([1, 3])
+    f.to_csv(str(tmp_path / "c"), name_function=lambda i: f"piece_{i}.csv")
+    assert sorted(p.name for p in (tmp_path / "c").glob("*.csv")) == ["piece_0.csv", "piece_1.csv"]
+    assert gf.read_csv(str(tmp_path / "c")).equals(gf.DataFrame(data), ordered=False)
+    assert len(gf.read_csv(str(tmp_path / "c" / "piece_1.csv"))) == 3
+    with pytest.raises(ValueError):
+        f.to_parquet(str(tmp_path / "p"), name_function=lambda i: "same")
+
+
 def test_csv_settings(spark, tmp_path):
     from gridframe.sources import CSVReadOptions, read_csv
 

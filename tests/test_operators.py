@@ -164,6 +164,14 @@ def test_exact_repartition(spark):
         partitioning.repartition(df, [1, 2])
 
 
+def test_exact_repartition_in_another_order(spark):
+    df = spark.range(10).toDF("k")
+    parts = partitioning.repartition(df, [2, 3, 5], "k", receive_order=[2, 0, 1]).withColumn("p", F.spark_partition_id()).collect()
+    assert [sorted(r.k for r in parts if r.p == i) for i in range(3)] == [[5, 6], [7, 8, 9], [0, 1, 2, 3, 4]]
+    with pytest.raises(ValueError):
+        partitioning.repartition(df, [5, 5], receive_order=[0, 0])
+
+
 def test_partitions_split_keys(spark):
     df = spark.range(200).select((F.col("id") % 13).alias("k"))
     parts = partitioning.hash_partition(df, "k", 5)
