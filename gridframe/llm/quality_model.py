@@ -177,9 +177,11 @@ def learn(docs: DataFrame, labels: DataFrame, fit: int = FIT) -> Model:
         x = _matrix(b.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("y")], ["x", "y"])
 
-    found = map_batches(rows, run, "x array<double>, y int").orderBy("x", "y").toArrow()
+    found = map_batches(rows, run, "x array<double>, y int").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(NAMES))
-    return train(x, found.column("y").to_numpy().astype(np.float64))
+    y = found.column("y").to_numpy().astype(np.float64)
+    order = np.lexsort((y, *x.T))  # sums do not depend on where rows came from
+    return train(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
