@@ -154,8 +154,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
         return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column("toxic"), b.column("other")], ["words", "toxic", "other"])
 
     found = map_batches(rows.filter("toxic OR other"), run, "words array<string>, toxic boolean, other boolean")
-    sample = [(set(r.words), r.toxic, r.other) for r in found.orderBy(F.xxhash64("words"), "toxic", "other").toLocalIterator()]
-    return train([w for w, t, _ in sample if t], [w for w, _, o in sample if o], prior)
+    sample = found.toArrow().to_pydict()
+    order = sorted(range(len(sample["words"])), key=lambda i: (sample["words"][i], sample["toxic"][i]))  # sums do not depend on where rows came from
+    sets = {i: set(sample["words"][i]) for i in order}
+    return train([sets[i] for i in order if sample["toxic"][i]], [sets[i] for i in order if sample["other"][i]], prior)
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
