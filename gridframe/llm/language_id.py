@@ -112,7 +112,8 @@ def learn(docs: DataFrame, fit: int = FIT) -> Profiles:
     bound = {r.lang: min(1.0, fit / r.n) for r in n.toLocalIterator()}
     if not bound:
         return Profiles({})
-    unit = (F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.col("text").cast("binary")))).cast("binary"))
+    unit = F.conv(F.substring(key, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
     share = F.element_at(F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]), F.col("lang"))
     part = known.filter(unit < share).select("lang", "text")
 
@@ -172,3 +173,27 @@ def op4_language_id(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang")
     profiles = learn(rows.filter(fold("doc_id", 4) != 2))
     return predict(rows, profiles).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda crc, b: list_reduce([xor(crc, b)] || CAST(range(8) AS BIGINT[]), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+#: The same profiles and distances by joins. Ids are taken to be distinct, as the table's are.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, text, {_CRC} % 4 = 2 AS held, trim(regexp_replace(lower(coalesce(text, '')), '\P{{L}}+', ' ', 'g')) AS t,
+  CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-' || md5(text))), 1, 13) AS BIGINT) AS DOUBLE) / {float(1 << 52)} AS unit FROM documents),
+share AS (SELECT lang, least(1.0, {float(FIT)} / count(*)) AS share FROM d WHERE NOT held AND lang IS NOT NULL AND text IS NOT NULL GROUP BY lang),
+p AS (SELECT doc_id, ' ' || t || ' ' AS p FROM d WHERE t <> ''),
+place AS (SELECT doc_id, p, unnest(range(1, length(p) + 1)) AS i FROM p),
+g AS (SELECT doc_id, g, count(*) AS n FROM (
+  SELECT doc_id, substr(p, i, 1) AS g FROM place WHERE substr(p, i, 1) <> ' ' UNION ALL
+  SELECT doc_id, substr(p, i, 2) FROM place WHERE i < length(p) UNION ALL
+  SELECT doc_id, substr(p, i, 3) FROM place WHERE i < length(p) - 1 AND substr(p, i + 1, 1) <> ' ') GROUP BY ALL),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS r FROM g QUALIFY r < {PROFILE}),
+profile AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS r FROM g JOIN d USING (doc_id) JOIN share USING (lang)
+  WHERE NOT held AND unit < share GROUP BY lang, g QUALIFY r < {PROFILE}),
+far AS (SELECT own.doc_id, l.lang, sum(coalesce(abs(profile.r - own.r), {PROFILE})) AS far, count(*) AS n
+  FROM own CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile ON profile.lang = l.lang AND profile.g = own.g GROUP BY ALL),
+best AS (SELECT doc_id, lang, 1 - CAST(far AS DOUBLE) / CAST({PROFILE} * n AS DOUBLE) AS score FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1)
+SELECT d.doc_id, d.held AS held_out, coalesce(best.lang, '{UNKNOWN}') AS lang_pred, coalesce(best.score, 0) AS score FROM d LEFT JOIN best USING (doc_id)
+"""

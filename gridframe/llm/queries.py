@@ -18,4 +18,4 @@ QUERIES = {
     "op10_warc": lambda spark, d: warc.op10_warc(tables(spark, d, "pages")),
 }
 
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op4_language_id": language_id.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
