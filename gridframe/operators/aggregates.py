@@ -92,55 +92,60 @@ def _on_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.join(b, cond).drop(*[f"_k_{k}" for k in keys])
 
 
-#: Into how many parts a group's range of values is cut in each pass of ``quantiles``.
-PARTS = 256
-PASSES = 2
+#: Into how many parts a large group's range of values is cut in each pass of ``quantiles``, and from how many values on.
+PARTS, PASSES = 256, 2
+LARGE = 1_000_000
+_STATE = ["_n", "_first", "_last", "_lo", "_hi", "_below"]
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, name: str | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, name: str | None = None, large: int = LARGE) -> DataFrame:
     """The exact q-quantile of each group, with a step at every value and the mean of both neighbours where it falls between (Hyndman and Fan's type 2); null for groups without values.
 
-    With n values, j = floor(nq) and g = nq - j, it is the (j+1)-th smallest, or its mean with the j-th if g is 0.  No group
-    is gathered in a task: each pass counts the values in ``PARTS`` equal parts of the group's range, which is partially
-    aggregated, and keeps the parts with the two ranks; the values left are counted and run through in order.
-    NaN is greater than every number.
+    With n values, j = floor(nq) and g = nq - j, it is the (j+1)-th smallest, or its mean with the j-th if g is 0.  Values
+    are counted (partially before the shuffle) and run through in order.  Of a group with more than ``large`` values only
+    a narrow range gets that far: each pass counts the values in ``PARTS`` equal parts of the range, which is partially
+    aggregated too, and keeps the parts with the two ranks.  NaN is greater than every number.
     """
     if not 0 <= q <= 1:
         raise ValueError(f"quantile {q}")
-    name = name or f"quantile_{value}"
-    keys = list(keys)
+    name, keys = name or f"quantile_{value}", list(keys)
     ks = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[col(k).alias(n) for k, n in zip(keys, ks, strict=True)], _number(df, value, "quantile").cast("double").alias("_v"))
-    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in ks]) if ks else F.lit(True)
     n = F.col("_n") * F.lit(float(q))
     whole = F.floor(n + 1e-9)
     between = F.abs(n - whole) <= 1e-9
-    first, last = F.when(between, F.greatest(whole, F.lit(1))).otherwise(whole + 1), F.when(between, F.least(F.greatest(whole + 1, F.lit(1)), F.col("_n"))).otherwise(F.least(whole + 1, F.col("_n")))
-    state = rows.groupBy(*ks).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max(F.when(~F.isnan("_v"), F.col("_v"))).alias("_hi"), F.max("_v").alias("_top"))
-    state = state.withColumns({"_first": first, "_last": last, "_below": F.lit(0).cast("long")}).withColumn("_hi", F.coalesce("_hi", "_top"))
+    low, high = F.greatest(whole, F.lit(1)), F.least(F.greatest(whole + 1, F.lit(1)), F.col("_n"))
+    state = rows.groupBy(*ks).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    state = state.withColumns({"_first": F.when(between, low).otherwise(high), "_last": high, "_below": F.lit(0).cast("long")}).select(*ks, *_STATE)
     values = rows.filter("_v IS NOT NULL")
-    for k in range(PASSES):
-        own = values.join(state.withColumnsRenamed({x: f"s{x}" for x in ks}), reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"s{x}")) for x in ks]) if ks else F.lit(True))
-        inside = (F.col("_v") >= F.col("_lo")) & ((F.col("_v") <= F.col("_hi")) | (F.isnan("_v") if k == 0 else F.lit(False)))
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        """Values with the state of their group, if they lie in its range; Spark orders NaN last."""
+        s = ranges.withColumnsRenamed({k: f"s{k}" for k in ks})
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"s{k}")) for k in ks], F.lit(True))
+        return values.join(s, same).filter("_v >= _lo AND _v <= _hi")
+
+    def narrowed(ranges: DataFrame) -> DataFrame:
         width = (F.col("_hi") - F.col("_lo")) / PARTS
-        part = F.when(F.isnan("_v"), PARTS).when((width > 0) & ~F.isnan(width) & (width < F.lit(float("inf"))), F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(PARTS - 1))).otherwise(F.when(F.col("_v") == F.col("_lo"), 0).otherwise(1))
-        parts = own.filter(inside).groupBy(*ks, part.alias("_part")).agg(F.count("*").alias("_c"), F.min("_v").alias("_plo"), F.max("_v").alias("_phi"), *[F.first(x).alias(x) for x in ("_n", "_first", "_last", "_below")])
-        run = Window.partitionBy(*ks).orderBy("_part")
-        parts = parts.withColumn("_upto", F.col("_below") + F.sum("_c").over(run)).withColumn("_from", F.col("_upto") - F.col("_c"))
-        hit = parts.filter((F.col("_upto") >= F.col("_first")) & (F.col("_from") < F.col("_last")))
-        found = hit.groupBy(*ks).agg(F.first("_n").alias("_n"), F.first("_first").alias("_first"), F.first("_last").alias("_last"), F.min("_plo").alias("_lo"), F.max("_phi").alias("_hi"), F.min("_from").alias("_below"))
-        empty = state.filter("_n = 0").select(*ks, "_n", "_first", "_last", "_lo", "_hi", "_below")
-        state = found.unionByName(empty)
-    s = state.withColumnsRenamed({x: f"s{x}" for x in ks})
-    own = values.join(s, reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"s{x}")) for x in ks]) if ks else F.lit(True)).filter("_v >= _lo AND _v <= _hi")
-    counts = own.groupBy(*ks, "_v").agg(F.count("*").alias("_c"), *[F.first(x).alias(x) for x in ("_first", "_last", "_below")])
+        usable = (width > 0) & ~F.isnan(width) & (width < F.lit(float("inf")))
+        part = F.when(usable, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(PARTS - 1))).otherwise((F.col("_v") > F.col("_lo")).cast("long"))
+        counts = inside(ranges).groupBy(*ks, part.alias("_part")).agg(F.count("*").alias("_c"), F.min("_v").alias("_plo"), F.max("_v").alias("_phi"), *[F.first(x).alias(x) for x in ("_n", "_first", "_last", "_below")])
+        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*ks).orderBy("_part"))
+        counts = counts.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+        hit = counts.filter((F.col("_upto") >= F.col("_first")) & (F.col("_from") < F.col("_last")))
+        ends = [F.min("_plo").alias("_lo"), F.max("_phi").alias("_hi"), F.min("_from").alias("_below")]
+        return hit.groupBy(*ks).agg(*[F.first(x).alias(x) for x in ("_n", "_first", "_last")], *ends)
+
+    ranges = state.filter((F.col("_n") > large) & (F.col("_n") > 0))
+    for _ in range(PASSES):
+        ranges = narrowed(ranges)
+    ranges = state.filter((F.col("_n") > 0) & (F.col("_n") <= large)).unionByName(ranges)
+    counts = inside(ranges).groupBy(*ks, "_v").agg(F.count("*").alias("_c"), *[F.first(x).alias(x) for x in ("_first", "_last", "_below")])
     counts = counts.withColumn("_upto", F.col("_below") + F.sum("_c").over(Window.partitionBy(*ks).orderBy("_v")))
     at = lambda x: F.min(F.when(F.col("_upto") >= F.col(x), F.col("_v")))
-    found = counts.groupBy(*ks).agg(((at("_first") + at("_last")) / 2).alias(name))
-    groups = rows.select(*ks).distinct() if ks else None
-    if groups is None:
-        return found
-    out = groups.join(found.withColumnsRenamed({x: f"s{x}" for x in ks}), reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"s{x}")) for x in ks]), "left")
+    out = counts.groupBy(*ks).agg(((at("_first") + at("_last")) / 2).alias(name))
+    if ks:
+        out = out.unionByName(state.filter("_n = 0").select(*ks, F.lit(None).cast("double").alias(name)))
     return out.select(*[F.col(x).alias(k) for x, k in zip(ks, keys, strict=True)], col(name))
 
 

@@ -63,6 +63,15 @@ def test_quantile_of_ten_values(spark, q, expected):
     assert aggregates.quantiles(df, [], "v", q).first()[0] == expected
 
 
+def test_quantile_with_nan_and_without_rows(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 2.0)], "g string, v double")
+    for large in (0, 100):
+        assert rows(aggregates.quantiles(df, ["g"], "v", 0.5, large=large)) == [("a", 2.0)]
+        assert math.isnan(aggregates.quantiles(df, [], "v", 1.0, large=large).first()[0])
+        assert aggregates.quantiles(df.filter("false"), [], "v", large=large).collect()[0][0] is None
+        assert aggregates.quantiles(df.filter("false"), ["g"], "v", large=large).count() == 0
+
+
 def _type2(values, q):
     v = sorted(values)
     n = len(v) * q
@@ -75,8 +84,8 @@ def _type2(values, q):
 def test_quantile_of_odd_groups(spark):
     groups = {"ties": [5.0] * 9, "wide": [-1e300, 0.0, 1e300, 2.0], "one": [3.0], "near": [1.0, 1.0 + 1e-12, 1.0 + 2e-12], "skewed": [0.0] * 50 + [1e9] + [float(i) for i in range(40)], "inf": [float("-inf"), 1.0, 2.0, float("inf")]}
     df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v] + [("none", None), (None, 1.0), (None, 2.0)], "g string, v double")
-    for q in (0.1, 0.5, 0.75):
-        got = dict(rows(aggregates.quantiles(df, ["g"], "v", q)))
+    for q, large in ((0.1, 0), (0.5, 0), (0.75, 0), (0.5, 20), (0.75, 1000)):
+        got = dict(rows(aggregates.quantiles(df, ["g"], "v", q, large=large)))
         assert got.pop("none") is None
         assert got.pop(None) == _type2([1.0, 2.0], q)
         assert got == {g: _type2(v, q) for g, v in groups.items()}
@@ -86,7 +95,7 @@ def test_quantile_of_odd_groups(spark):
 @given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(-50, 50))), min_size=1, max_size=40), st.sampled_from([0.3, 0.5, 0.9]))
 def test_quantile_matches_sorting(spark, data, q):
     df = spark.createDataFrame(data, "g int, v int")
-    got = dict(rows(aggregates.quantiles(df, ["g"], "v", q)))
+    got = dict(rows(aggregates.quantiles(df, ["g"], "v", q, large=len(data) // 4)))
     for g in {g for g, _ in data}:
         own = [v for h, v in data if h == g and v is not None]
         assert got[g] == (_type2(own, q) if own else None)
