@@ -56,7 +56,7 @@ class Env:
     def __init__(self, config=None, distributed: bool = True, spark: SparkSession | None = None):
         self.spark = spark or SparkSession.getActiveSession() or session()
         self.is_distributed = distributed
-        self.config: dict[str, str] = dict(config or {})
+        self.config: dict[str, str] = dict(config) if isinstance(config, dict) else {}  # communicator settings mean nothing here
 
     @property
     def rank(self) -> int:
