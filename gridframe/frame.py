@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from gridframe.operators import aggregates, joins, partitioning, relational, setops, sorting, udf
 from gridframe.operators.columns import col, fresh
-from gridframe.session import Env, session
+from gridframe.session import Env, local_session
 from gridframe.sources import files, memory, sinks
 from gridframe.sources.options import CSVReadOptions, CSVWriteOptions
 
@@ -29,7 +29,7 @@ _ORDINAL = "_position"
 
 
 def _spark() -> SparkSession:
-    return SparkSession.getActiveSession() or session()
+    return SparkSession.getActiveSession() or local_session()
 
 
 def _plan_of(data, columns: Sequence[str] | None) -> Plan:

@@ -38,7 +38,7 @@ def discard(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def session(cores: int | str = "*", **conf: str) -> SparkSession:
+def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with this library's defaults; on a cluster, make the session as usual."""
     built = SparkSession.builder.master(f"local[{cores}]").appName("gridframe")
     base = {"spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true"}
@@ -54,7 +54,7 @@ class Env:
     """
 
     def __init__(self, config=None, distributed: bool = True, spark: SparkSession | None = None):
-        self.spark = spark or SparkSession.getActiveSession() or session()
+        self.spark = spark or SparkSession.getActiveSession() or local_session()
         self.is_distributed = distributed
         self.config: dict[str, str] = dict(config) if isinstance(config, dict) else {}  # communicator settings mean nothing here
 

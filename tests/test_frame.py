@@ -1,5 +1,7 @@
 """The frame against pandas."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -229,6 +231,16 @@ def test_csv_settings(spark, tmp_path):
     assert len(gf.read_csv_dist({0: str(tmp_path / "d.csv"), 1: [str(tmp_path / "d.csv")]})) == 2
 
 
+def test_discard_takes_away_what_was_stored(spark):
+    from gridframe.session import _written, stored
+
+    kept = stored(gf.DataFrame({"a": [1]}).to_spark(), "x")
+    assert kept.count() == 1 and _written
+    path = _written[-1].removeprefix("file://")
+    gf.discard(spark)
+    assert not _written and not os.path.exists(path)
+
+
 def test_env_and_conveniences(data):
     env = gf.Env()
     assert env.rank == 0 and env.world_size >= 1
