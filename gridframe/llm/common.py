@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -17,8 +19,18 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 GAP_RE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; texts are long, so Spark's own 64 MB is much for small executors.
+BATCH = 16 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers find this package where only the driver had it on its path."""
+    """Let Python workers find this package where only the driver had it on its path, and keep their batches small.
+
+    The session's batch size is set only where it is still Spark's default.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, "64m") in ("67108864b", "64m"):
+        spark.conf.set(size, BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -49,5 +61,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
         for b in batches:
             if b.num_rows:
                 yield fn(b)
+        release()
 
     return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers stay for a while, beside tasks that need none."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc keeps freed memory and has a call for it
+        ctypes.CDLL(None).malloc_trim(0)

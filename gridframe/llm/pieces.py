@@ -10,8 +10,9 @@ relaxed word by word:
   neighbouring pieces the one of the highest score (the leftmost of equals) is taken until none is left.
 
 Words can be relaxed alone because no piece of such a vocabulary has a space after another character (this is checked);
-a word here is a run of spaces and the characters up to the next one.  The ids of words met are kept in a table that is
-emptied when it holds ``TABLE`` entries, which bounds memory and changes no result.
+a word here is a run of spaces and the characters up to the next one.  The ids of words met are kept in two tables
+of at most ``TABLE`` entries: a full one becomes the older one, from which words still in use return; this bounds memory
+and changes no result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import map_batches
 
 VOCABULARY = "piece_bpe_32k.model"
-TABLE = 1_500_000
+TABLE = 150_000
 #: Bytes of new words indexed at once.
-TEXT = 300_000
+TEXT = 80_000
 #: Words of at most so many characters are merged together, as rows of a matrix; longer ones use a heap.
 ROWS = (6, 10, 16, 32)
 SPACE = "▁"
@@ -132,7 +133,7 @@ def suffix_array(text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     keys = np.zeros(n + 8 * words, np.uint64)
     for k in range(8):
         keys[:n] = (keys[:n] << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(keys[:n], kind="stable")
+    order = np.argsort(keys[:n])  # ties have one rank, so their order is free
     rank, width = keys[:n], 8
     while width < 8 * words:
         own = rank[order]
@@ -140,30 +141,39 @@ def suffix_array(text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         dense[order] = np.cumsum(np.concatenate(([1], own[1:] != own[:-1])))
         dense[n:] = 0
         rank = dense[:n] * (n + 2) + dense[width:]
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         width *= 2
     return order, keys
 
 
 def occurrences(v: Vocabulary, order: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The range [low, high) of the suffix array that begins with each piece, by binary search for all pieces at once."""
+    """The range [low, high) of the suffix array that begins with each piece, by binary search for all pieces at once.
+
+    The first 8 bytes are searched in one sorted list of keys; longer pieces go on within the range that leaves.
+    """
+    first = keys[order]
+    low = np.searchsorted(first, v.keys[:, 0], side="left")
+    high = np.searchsorted(first, v.keys[:, 0] | ~v.masks[:, 0], side="right")
+    long = np.flatnonzero((v.sizes > 8) & (low < high))
+    want, mask = v.keys[long], v.masks[long]
 
     def bound(upper: bool) -> np.ndarray:
-        low, high = np.zeros(len(v.ids), np.int64), np.full(len(v.ids), len(order), np.int64)
-        while (open_ := low < high).any():
-            mid = (low + high) >> 1
+        a, b = low[long], high[long]
+        while (open_ := a < b).any():
+            mid = (a + b) >> 1
             at = order[np.minimum(mid, len(order) - 1)]
             less, same = np.zeros(len(mid), bool), np.ones(len(mid), bool)
-            for k in range(v.words):
-                x = keys[at + 8 * k] & v.masks[:, k]
-                less |= same & (x < v.keys[:, k])
-                same &= x == v.keys[:, k]
+            for k in range(1, v.words):
+                x = keys[at + 8 * k] & mask[:, k]
+                less |= same & (x < want[:, k])
+                same &= x == want[:, k]
             right = open_ & (less | same if upper else less)
-            low = np.where(right, mid + 1, low)
-            high = np.where(open_ & ~right, mid, high)
-        return low
+            a, b = np.where(right, mid + 1, a), np.where(open_ & ~right, mid, b)
+        return a
 
-    return bound(False), bound(True)
+    ends = bound(False), bound(True)
+    low[long], high[long] = ends
+    return low, high
 
 
 def edges(v: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +184,7 @@ def edges(v: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     piece = np.repeat(np.arange(len(n)), n)
     starts = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
     sizes = v.sizes[piece]
-    by = np.argsort(starts * (v.longest + 1) + sizes, kind="stable")
+    by = np.argsort(starts * (v.longest + 1) + sizes)  # no two are equal
     return starts[by], sizes[by], v.ids[piece[by]]
 
 
@@ -184,6 +194,7 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # a run of spaces and what follows, or the start of a text without the added space
         self.cut = re.compile(r" +[^ ]*|[^ ]+").findall
 
@@ -191,10 +202,13 @@ class Encoder:
         """Ids of each text."""
         cut = [self.cut((" " if self.v.prefix and t else "") + t.replace(SPACE, " ")) for t in texts]
         if len(self.known) > TABLE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         part: list[str] = []
         size = 0
         for w in {w for own in cut for w in own if w not in self.known}:
+            if w in self.older:
+                self.known[w] = self.older[w]
+                continue
             part.append(w)
             size += len(w)
             if size > TEXT:
@@ -351,13 +365,13 @@ def encoder(name: str = VOCABULARY) -> Encoder:
     return _encoders[name]
 
 
-def _groups(texts: list[str]):
+def _groups(texts: pa.Array):
     """Texts in groups of bounded size, so that what is held beside a batch is bounded by characters."""
     part, size = [], 0
     for t in texts:
-        part.append(t)
-        size += len(t)
-        if size > 2_000_000:
+        part.append(t.as_py() or "")
+        size += len(part[-1])
+        if size > 1_000_000:
             yield part
             part, size = [], 0
     if part:
@@ -371,8 +385,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        ids = [x for part in _groups(texts) for x in encoder(vocabulary).encode(part)]
+        ids = [x for part in _groups(b.column("text")) for x in encoder(vocabulary).encode(part)]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))], ["doc_id", "ids"])
 
@@ -400,7 +413,7 @@ def op8_sentencepiece(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
         e = encoder(vocabulary)
         rows = []
-        for part in _groups([t or "" for t in b.column("text").to_pylist()]):
+        for part in _groups(b.column("text")):
             for t, ids in zip(part, e.encode(part), strict=True):
                 rows.append((len(t.encode()), len(ids), zlib.crc32(ids.astype("<i4").tobytes()), e.decode(ids.tolist()) == t))
         cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
