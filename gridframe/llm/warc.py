@@ -4,7 +4,8 @@ Pages become WARC records; ``FILE`` consecutive records are an archive file, and
 length and SHA-256.  Over a file's records stands a tree: a leaf hashes the entries (offset, length, digest) of ``FAN``
 consecutive records in order, a node hashes ``FAN`` nodes below it, three levels make the root.  An audit joins the roots
 of two replicas and goes down only into nodes whose hashes differ; records are compared only in differing leaves.
-Everything is DataFrame functions; no task gathers more than ``FAN`` rows of a node or ``FILE`` rows of a file.
+Everything is DataFrame functions; a task gathers ``FAN`` rows of a node and about ``FILE`` rows of a file, also where many
+records share an id (only records equal in id and bytes have to share a file).
 """
 
 from __future__ import annotations
@@ -29,14 +30,29 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in head]).cast("binary")
 
 
-def archive(pages: DataFrame) -> DataFrame:
+def crowded(pages: DataFrame) -> DataFrame:
+    """``base``, ``parts``: ranges of ids that hold more than twice ``FILE`` records (ids that repeat, or none), and into how many files they are dealt."""
+    n = pages.groupBy(_base().alias("base")).agg(F.count("*").alias("n"))
+    return n.filter(F.col("n") > 2 * FILE).select("base", F.ceil(F.col("n") / FILE).cast("long").alias("parts"))
+
+
+def _base() -> Column:
+    return F.coalesce(F.floor(F.col("page_id") / FILE), F.lit(-1)).cast("long")
+
+
+def archive(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """The records of a replica: ``page_id``, ``file``, ``ordinal``, ``record_offset``, ``length``, ``sha256``.
 
-    Needs ``page_id``, ``url``, ``html``.  Records stand in a file in the order of page id, digest and length; pages
-    without an id share the file -1.  A repeated id is a record each time.  Rows leave the scan as digests.
+    Needs ``page_id``, ``url``, ``html``.  A file holds the ids of a range of ``FILE``, or those without an id (-1), in the
+    order of page id, digest and length; a repeated id is a record each time.  Crowded ranges are dealt to several files
+    (numbers below -1) by digest, so that no task gathers them; replicas that are to be compared take one ``layout``
+    (``crowded`` of either).  Rows leave the scan as digests.
     """
     r = record(F.col("page_id"), F.col("url"), F.col("html"))
-    thin = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / FILE), F.lit(-1)).cast("long").alias("file"), F.octet_length(r).cast("long").alias("length"), F.sha2(r, 256).alias("sha256"))
+    thin = pages.select("page_id", _base().alias("base"), F.octet_length(r).cast("long").alias("length"), F.sha2(r, 256).alias("sha256"))
+    layout = (crowded(pages) if layout is None else layout).select(F.col("base").alias("l_base"), "parts")
+    slot = F.xxhash64("base", F.pmod(F.xxhash64("sha256"), F.col("parts"))).bitwiseAND(F.lit((1 << 62) - 1))
+    thin = thin.join(layout, F.col("base") == F.col("l_base"), "left").withColumn("file", F.when(F.col("parts") > 1, -2 - slot).otherwise(F.col("base")))
     order = Window.partitionBy("file").orderBy("page_id", "sha256", "length")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return thin.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), before.alias("record_offset"), "length", "sha256")
@@ -111,7 +127,8 @@ def op10_warc(pages: DataFrame) -> DataFrame:
     empty table gives none.
     """
     pages = pages.select("page_id", "url", "html")
-    ours, theirs = stored(archive(pages), "warc-ours"), stored(archive(damaged(pages)), "warc-theirs")
+    layout = stored(crowded(pages), "warc-layout")
+    ours, theirs = stored(archive(pages, layout), "warc-ours"), stored(archive(damaged(pages), layout), "warc-theirs")
     own = Window.partitionBy("file", "page_id").orderBy("ordinal")
     rows = ours.withColumn("repeat", F.row_number().over(own))
     roots = tree(ours)[-1].filter("node = 0").select(F.col("file").alias("r_file"), F.col("hash").alias("file_root"))
