@@ -421,6 +421,18 @@ def test_warc_offsets_and_digests(spark):
     assert warc.op10_warc(pages).count() == 4 and warc.op10_warc(pages.filter("false")).count() == 0
 
 
+def test_crowded_ids_are_dealt_to_files(spark):
+    pages = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 7).alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    layout = warc.crowded(pages)
+    assert {r.base for r in layout.collect()} == {-1, 0}
+    ours = warc.archive(pages, layout)
+    assert ours.groupBy("file").count().agg(F.max("count")).first()[0] < 3 * warc.FILE and ours.count() == 9000
+    theirs = warc.archive(pages.filter("html <> '8000'").withColumn("html", F.when(F.col("html") == "4000", "x").otherwise(F.col("html"))), layout)
+    found = warc.audit(ours, theirs)
+    assert found.filter("status = 'missing'").count() - found.filter("status = 'extra'").count() == 1
+    assert warc.audit(ours, warc.archive(pages.repartition(3), layout)).count() == 0
+
+
 def test_descent_reads_only_differing_branches(spark):
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
     ours = warc.archive(pages)
