@@ -2,8 +2,6 @@
 
 from collections import Counter
 
-import pytest
-
 import corpus_pipeline
 from gridframe.llm import language_id, quality_rules
 from tests.conftest import DATA
@@ -67,8 +65,7 @@ def test_the_contract():
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("clean", [True])
-def test_clean_documents_stay(spark, clean):
+def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     good = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet").filter("quality = 1")
     n = docs.join(good, "doc_id", "left_semi").filter("n_chars > 60").count()
