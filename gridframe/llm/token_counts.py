@@ -98,18 +98,16 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         file = vocabulary if "/" in vocabulary else _place(vocabulary)
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        # small groups: what is held beside the texts is bounded by characters, not rows
-        tokens, part, size = [], [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t)
-            if size > 2_000_000:
+        tokens, sizes, part, held = [], [], [], 0
+        for t in b.column("text"):  # small groups: what is held beside the batch is bounded by characters, not rows
+            part.append(t.as_py() or "")
+            sizes.append(len(part[-1].encode()))
+            held += sizes[-1]
+            if held > 2_000_000:
                 tokens += counter(file).count(part)
-                part, size = [], 0
+                part, held = [], 0
         tokens += counter(file).count(part)
         n = np.array(tokens, np.int64)
-        sizes = [len(t.encode()) for t in texts]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
