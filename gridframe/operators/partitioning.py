@@ -65,8 +65,12 @@ def repartition(df: DataFrame, rows: Sequence[int] | Mapping[int, int], by: Key
 
 def repartition_evenly(df: DataFrame, n: int, by: Key | Sequence[Key] | None = None) -> DataFrame:
     """``n`` partitions whose row counts differ by one at most, the larger ones first, order kept."""
-    total = df.count()
-    return repartition(df, [total // n + (i < total % n) for i in range(n)], by)
+    name = fresh(df, "_ordinal")
+    placed = with_ordinal(df, name, by)
+    size, larger = divmod(placed.count(), n)
+    at, ahead = col(name), larger * (size + 1)
+    target = F.when(at < ahead, F.floor(at / (size + 1))).otherwise(larger + F.floor((at - ahead) / max(size, 1)))
+    return placed.repartitionById(n, target.cast("int")).sortWithinPartitions(at).drop(name)
 
 
 def round_robin(df: DataFrame, n: int) -> DataFrame:
