@@ -6,11 +6,12 @@ fingerprints differ in at most ``radius`` bits; groups are the connected compone
 *Search.*  Fingerprints are made distinct first, so copies cost nothing.  With ``radius`` 2 and two 32-bit halves, two
 linked fingerprints differ by at most one bit in one of the halves (pigeonhole), so one vantage-point tree is kept for
 each half: its metric is the Hamming distance within that half, a search in it has radius 1, and fewer branches overlap
-than in one tree over all 64 bits.  The top of each tree is fitted on a bounded sample (``SAMPLE << DEPTH`` fingerprints at most) and splits every
-fingerprint into a home shard; by the triangle inequality only shards whose boundary lies within the radius can hold a
-partner, and there the fingerprint is sent as a visitor.  In a shard the tree grows on: ``_descend`` splits the home
-points by a vantage point, lets queries enter only the sides that the bound allows, and compares exactly in the leaves.
-The sample only balances the tree: no choice of vantage point can lose a link.
+than in one tree over all 64 bits.  The top of each tree is fitted on a bounded sample (about ``SAMPLE << DEPTH``
+fingerprints at most, chosen by hash) and splits every fingerprint into a home shard; by the triangle inequality only
+shards whose boundary lies within the radius can hold a partner, and there the fingerprint is sent as a visitor.  In a
+shard the tree grows on: ``_descend`` splits the home points by a vantage point, lets queries enter only the sides that
+the bound allows, and compares exactly in the leaves.  The sample only balances the tree: no choice of vantage point can
+lose a link.
 
 *Groups.*  A shard returns a spanning forest of its links (at most one edge a fingerprint), never all pairs, and the
 forests are joined by alternating star contraction, each round checkpointed.
@@ -222,7 +223,12 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     spark = distinct.sparkSession
     prepare(spark)
     depth = max(0, min(DEPTH, math.ceil(math.log2(max(1, n) / SHARD))))
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE << depth).select("fp").toLocalIterator()] if depth else [], np.int64).view(np.uint64)
+    sample = np.empty(0, np.uint64)
+    if depth:
+        unit = F.xxhash64("fp").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+        part = distinct.filter(unit < (SAMPLE << depth) / n).select("fp").toArrow()
+        sample = np.sort(part.column("fp").to_numpy()).view(np.uint64)
+        sample = sample[np.argsort(sample * np.uint64(0x9E3779B97F4A7C15))]  # an order that has nothing to do with the bits compared
     halves = _halves(radius)
     trees = [grow(sample, mask, depth) if depth else [] for mask, _ in halves]
 
@@ -287,15 +293,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, extra: dict | None =
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest ``doc_id``; all columns stay.
 
-    Rows are told apart by hashes of id and text, so ids may be null or repeated; of equal rows one stays.
+    Rows are told apart by hashes of id and text, so ids may be null or repeated; of equal rows one stays.  The texts are
+    shuffled once, and sorted only if a row that stays is there twice, which is looked up first.
     """
     key = {"_gf_k1": F.xxhash64("doc_id", "text"), "_gf_k2": F.hash("text", "doc_id")}
-    found = near_duplicates(docs, radius, key)
+    found = stored(near_duplicates(docs, radius, key), "simhash-found")
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_gf_k1", "_gf_k2")).alias("b"))
     keep = best.select("b._gf_k1", "b._gf_k2").distinct()
-    out = docs.withColumns(key).join(keep, list(key))
-    seen = F.row_number().over(_same_rows(key))
-    return out.withColumn("_gf_n", seen).filter("_gf_n = 1").select(*[out[c] for c in docs.columns])
+    out = docs.withColumns(key).join(keep.hint("shuffle_hash"), list(key))
+    if not found.groupBy(*key).count().filter("count > 1").join(keep, list(key), "left_semi").isEmpty():
+        out = out.withColumn("_gf_n", F.row_number().over(_same_rows(key))).filter("_gf_n = 1")
+    return out.select(*[out[c] for c in docs.columns])
 
 
 def _same_rows(key: dict):
