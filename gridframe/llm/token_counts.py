@@ -4,8 +4,8 @@ A text's tokens are the sum, over its distinct pre-tokens, of frequency times pi
 pre-tokens; those not met before go to the tokenizer once, as a batch, and only the number of their pieces is kept;
 that table is joined to each document's pre-token frequencies.  No ids are kept and nothing is shuffled: a shuffle join
 would move every (document, pre-token) pair, several times the corpus, while a worker meets nearly all frequent
-pre-tokens within its first batches.  The table is emptied when it holds ``TABLE`` entries, which bounds memory and
-changes no result.
+pre-tokens within its first batches.  There are two tables of about ``TABLE`` entries at most: a full one becomes the
+older one, from which pre-tokens still in use return; this bounds memory and changes no result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from gridframe.llm.common import map_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Distinct pre-tokens that a worker keeps the count of.
-TABLE = 1_000_000
+#: Distinct pre-tokens in a full table.
+TABLE = 200_000
 #: Fixed value: the pattern by which a byte-level pre-tokenizer cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,6 +53,7 @@ class PieceCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pieces: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def _frequencies(self, text: str) -> tuple[Counter, int]:
         """Pre-token frequencies, and the number of added tokens."""
@@ -66,8 +67,10 @@ class PieceCounter:
     def count(self, texts: list[str]) -> list[int]:
         counted = [self._frequencies(t) for t in texts]
         if len(self.pieces) > TABLE:
-            self.pieces.clear()
-        new = list({p for own, _ in counted for p in own if p not in self.pieces})
+            self.pieces, self.older = {}, self.pieces
+        missing = {p for own, _ in counted for p in own if p not in self.pieces}
+        self.pieces |= {p: self.older[p] for p in missing if p in self.older}
+        new = list(missing - self.pieces.keys())
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
