@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridframe.llm import language_id, mixing, pieces, quality_rules, simhash
+from gridframe.llm import language_id, mixing, near_copies, pieces, quality_rules
 from gridframe.llm.common import stored, tables
 
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group whose fingerprints are linked."""
-    return simhash.keep_first(docs)
+    """One document, that of the smallest id, of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    return near_copies.keep_first(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

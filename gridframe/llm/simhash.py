@@ -296,8 +296,17 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows are told apart by hashes of id and text, so ids may be null or repeated; of equal rows one stays.  The texts are
     shuffled once, and sorted only if a row that stays is there twice, which is looked up first.
     """
-    key = {"_gf_k1": F.xxhash64("doc_id", "text"), "_gf_k2": F.hash("text", "doc_id")}
-    found = stored(near_duplicates(docs, radius, key), "simhash-found")
+    key = row_keys()
+    return keep_rows(docs, stored(near_duplicates(docs, radius, key), "simhash-found"), key)
+
+
+def row_keys() -> dict:
+    """Hashes of id and text that tell rows apart."""
+    return {"_gf_k1": F.xxhash64("doc_id", "text"), "_gf_k2": F.hash("text", "doc_id")}
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, key: dict) -> DataFrame:
+    """The first row of ``docs`` of each ``label`` of ``found`` (``doc_id``, ``label`` and ``key``, a written table)."""
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_gf_k1", "_gf_k2")).alias("b"))
     keep = best.select("b._gf_k1", "b._gf_k2").distinct()
     out = docs.withColumns(key).join(keep.hint("shuffle_hash"), list(key))
