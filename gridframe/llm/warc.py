@@ -41,10 +41,10 @@ def _base() -> Column:
 
 
 def archive(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
-    """The records of a replica: ``page_id``, ``file``, ``ordinal``, ``record_offset``, ``length``, ``sha256``.
+    """The records of a replica: ``page_id``, ``file``, ``ordinal``, ``repeat``, ``record_offset``, ``length``, ``sha256``.
 
     Needs ``page_id``, ``url``, ``html``.  A file holds the ids of a range of ``FILE``, or those without an id (-1), in the
-    order of page id, digest and length; a repeated id is a record each time.  Crowded ranges are dealt to several files
+    order of page id, digest and length; a repeated id is a record each time, numbered by ``repeat`` from 1.  Crowded ranges are dealt to several files
     (numbers below -1) by digest, so that no task gathers them; replicas that are to be compared take one ``layout``
     (``crowded`` of either).  Rows leave the scan as digests.
     """
@@ -54,8 +54,9 @@ def archive(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     slot = F.xxhash64("base", F.pmod(F.xxhash64("sha256"), F.col("parts"))).bitwiseAND(F.lit((1 << 62) - 1))
     thin = thin.join(layout, F.col("base") == F.col("l_base"), "left").withColumn("file", F.when(F.col("parts") > 1, -2 - slot).otherwise(F.col("base")))
     order = Window.partitionBy("file").orderBy("page_id", "sha256", "length")
+    own = Window.partitionBy("file", "page_id").orderBy("sha256", "length")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return thin.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), before.alias("record_offset"), "length", "sha256")
+    return thin.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.row_number().over(own).alias("repeat"), before.alias("record_offset"), "length", "sha256")
 
 
 def _parents(below: DataFrame, at: str, entry: Column) -> DataFrame:
@@ -87,7 +88,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Where replica ``theirs`` differs: ``page_id``, ``file``, ``record_offset`` and ``status`` of each record.
 
     ``damaged``: other bytes under the same id; ``moved``: the same bytes elsewhere; ``missing``: only in ours;
-    ``extra``: only in theirs.  Repeats of an id are told apart by their order.  Equal replicas give no rows.
+    ``extra``: only in theirs.  Repeats of an id are told apart by their order in the whole file.  Equal replicas give no rows.
     """
     up, others = tree(ours), tree(theirs)
     bad = _differing(up[-1], others[-1])
@@ -95,11 +96,10 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         parents = bad.select("file", F.col("node").alias("up"))
         inside = [x.join(parents, (x.file == parents.file) & (F.floor(x.node / FAN) == parents.up), "left_semi") for x in (mine, other)]
         bad = _differing(*inside)
-    own = Window.partitionBy("file", "page_id").orderBy("ordinal")
     sides = []
     for x in (ours, theirs):
         leaf = F.floor(x.ordinal / FAN)
-        sides.append(x.join(bad, (x.file == bad.file) & (leaf == bad.node), "left_semi").withColumn("repeat", F.row_number().over(own)))
+        sides.append(x.join(bad, (x.file == bad.file) & (leaf == bad.node), "left_semi"))
     a, b = sides
     b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     both = a.join(b, (a.file == b.b_file) & a.page_id.eqNullSafe(b.b_page_id) & (a["repeat"] == b.b_repeat), "full")
@@ -129,11 +129,9 @@ def op10_warc(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     layout = stored(crowded(pages), "warc-layout")
     ours, theirs = stored(archive(pages, layout), "warc-ours"), stored(archive(damaged(pages), layout), "warc-theirs")
-    own = Window.partitionBy("file", "page_id").orderBy("ordinal")
-    rows = ours.withColumn("repeat", F.row_number().over(own))
     roots = tree(ours)[-1].filter("node = 0").select(F.col("file").alias("r_file"), F.col("hash").alias("file_root"))
-    found = audit(ours, theirs).select(F.col("page_id").alias("f_id"), F.col("file").alias("f_file"), F.col("repeat").alias("f_repeat"), "status")
-    out = rows.join(roots, F.col("file") == F.col("r_file")).join(found, (F.col("file") == F.col("f_file")) & F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("repeat") == F.col("f_repeat")), "left")
+    found = audit(ours, theirs).filter("status <> 'extra'").select(F.col("page_id").alias("f_id"), F.col("file").alias("f_file"), F.col("repeat").alias("f_repeat"), "status")
+    out = ours.join(roots, F.col("file") == F.col("r_file")).join(found, (F.col("file") == F.col("f_file")) & F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("repeat") == F.col("f_repeat")), "left")
     return out.select("page_id", "file", "record_offset", "length", "sha256", "file_root", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
