@@ -78,6 +78,14 @@ def tree(records: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
     return out
 
 
+def roots(top: DataFrame) -> DataFrame:
+    """``r_file``, ``file_root``: the only node of a file's last level, or a hash of all its nodes in order."""
+    nodes = top.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("n"))
+    hashes = F.transform("n", lambda x: x["hash"])
+    root = F.when(F.size("n") == 1, hashes[0]).otherwise(F.sha2(F.array_join(hashes, "\n").cast("binary"), 256))
+    return nodes.select(F.col("file").alias("r_file"), root.alias("file_root"))
+
+
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """``file``, ``node`` of nodes that differ or that one side lacks."""
     b = b.select("file", "node", F.col("hash").alias("other"))
@@ -123,15 +131,14 @@ def op10_warc(pages: DataFrame) -> DataFrame:
     """Every record of the archive of ``pages`` with what the audit of its damaged replica says.
 
     ``page_id``, ``file``, ``record_offset``, ``length``, ``sha256``, ``file_root``, ``status`` (``ok`` where the audit
-    did not report the record).  Null urls and texts are empty; null ids share a file; repeated rows are records each; an
+    did not report the record); the root depends on every record of the file.  Null urls and texts are empty; null ids share a file; repeated rows are records each; an
     empty table gives none.
     """
     pages = pages.select("page_id", "url", "html")
     layout = stored(crowded(pages), "warc-layout")
     ours, theirs = stored(archive(pages, layout), "warc-ours"), stored(archive(damaged(pages), layout), "warc-theirs")
-    roots = tree(ours)[-1].filter("node = 0").select(F.col("file").alias("r_file"), F.col("hash").alias("file_root"))
     found = audit(ours, theirs).filter("status <> 'extra'").select(F.col("page_id").alias("f_id"), F.col("file").alias("f_file"), F.col("repeat").alias("f_repeat"), "status")
-    out = ours.join(roots, F.col("file") == F.col("r_file")).join(found, (F.col("file") == F.col("f_file")) & F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("repeat") == F.col("f_repeat")), "left")
+    out = ours.join(roots(tree(ours)[-1]), F.col("file") == F.col("r_file")).join(found, (F.col("file") == F.col("f_file")) & F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("repeat") == F.col("f_repeat")), "left")
     return out.select("page_id", "file", "record_offset", "length", "sha256", "file_root", F.coalesce("status", F.lit("ok")).alias("status"))
 
 

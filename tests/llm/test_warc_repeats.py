@@ -4,6 +4,7 @@ import hashlib
 from itertools import count, islice
 
 import duckdb
+from pyspark.sql import functions as F
 
 from gridframe.llm import warc
 from tests.conftest import cells
@@ -26,3 +27,13 @@ def test_status_of_repeats_over_several_leaves(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
     assert cells(got) == cells(con.execute(warc.ORACLE_SQL).df())
     assert {None if i != i else i for i in got[got.status == "damaged"].page_id} >= {None, 5, 6}
+
+
+def test_root_depends_on_every_record_of_a_long_file(spark):
+    rows = [(None, "http://h/0", f"page {k}") for k in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    digest = F.sha2(warc.record(F.col("page_id"), F.col("url"), F.col("html")), 256)
+    last = pages.orderBy(digest.desc()).first().html
+    longer = pages.withColumn("html", F.when(F.col("html") == last, F.lit("more")).otherwise(F.col("html")))
+    found = [warc.op10_warc(p.filter(keep)).select("file_root").distinct().collect() for p, keep in ((pages, "true"), (longer, "true"), (pages, F.col("html") != last))]
+    assert all(len(r) == 1 for r in found) and len({r[0][0] for r in found}) == 3
