@@ -1,11 +1,11 @@
 """WARC: a Merkle fixity audit of replicas.
 
-Pages become WARC records; ``FILE`` consecutive records are an archive file, and each record has its ordinal, byte offset,
-length and SHA-256.  Over a file's records stands a tree: a leaf hashes the entries (offset, length, digest) of ``FAN``
-consecutive records in order, a node hashes ``FAN`` nodes below it, three levels make the root.  An audit joins the roots
-of two replicas and goes down only into nodes whose hashes differ; records are compared only in differing leaves.
-Everything is DataFrame functions; a task gathers ``FAN`` rows of a node and about ``FILE`` rows of a file, also where many
-records share an id (only records equal in id and bytes have to share a file).
+Pages become WARC records; about ``FILE`` consecutive records are an archive file, and each record has its ordinal, byte
+offset, length and SHA-256.  Over a file's records stands a tree: a leaf hashes the entries (offset, length, digest) of
+``FAN`` consecutive records in order, a node hashes ``FAN`` nodes below it, and levels are added until one node is left,
+the root.  A file is bounded, so its whole tree is one row with an array a level, made in one grouping and stored.  An
+audit joins the trees of two replicas by file, drops those with equal roots, and in the others goes down only through
+nodes whose hashes differ; records are read only where leaves differ.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import stored
 
 FAN = 8
-LEVELS = 3
-FILE = FAN**LEVELS
+FILE = 512
+#: File numbers: ids divided by ``FILE``; this one for records without an id, numbers below twice this for dealt files.
+NO_ID = -(1 << 55)
 #: Fixed value: the date in every record's header, so that records depend on nothing but the page.
 DATE = "2000-01-01T00:00:00Z"
-_WHERE = ["file", "ordinal"]
+_RECORDS = ["page_id", "file", "ordinal", "record_offset", "length", "sha256"]
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -30,144 +31,156 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in head]).cast("binary")
 
 
-def crowded(pages: DataFrame) -> DataFrame:
-    """``base``, ``parts``: ranges of ids that hold more than twice ``FILE`` records (ids that repeat, or none), and into how many files they are dealt."""
-    n = pages.groupBy(_base().alias("base")).agg(F.count("*").alias("n"))
-    return n.filter(F.col("n") > 2 * FILE).select("base", F.ceil(F.col("n") / FILE).cast("long").alias("parts"))
+def _base() -> Column:
+    return F.coalesce(F.floor(F.col("page_id") / FILE), F.lit(NO_ID)).cast("long")
 
 
-def _base() -> Column:
-    return F.coalesce(F.floor(F.col("page_id") / FILE), F.lit(-1)).cast("long")
+def crowded(pages: DataFrame) -> DataFrame:
+    """``l_base``, ``parts``: ranges of ids that hold more than twice ``FILE`` records (ids that repeat, or none), and into how many files they are dealt."""
+    n = pages.groupBy(_base().alias("l_base")).agg(F.count("*").alias("n"))
+    return n.filter(F.col("n") > 2 * FILE).select("l_base", F.ceil(F.col("n") / FILE).cast("long").alias("parts"))
 
 
-def archive(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
-    """The records of a replica: ``page_id``, ``file``, ``ordinal``, ``repeat``, ``record_offset``, ``length``, ``sha256``.
+def archives(pages: DataFrame, *copies: Column) -> DataFrame:
+    """Records of ``pages`` and of replicas of them in one table: ``page_id``, ``file``, ``ordinal``, and an array
+    ``copies`` of (``record_offset``, ``length``, ``sha256``), first of the pages themselves, then with each of ``copies``
+    for ``html``.
 
-    Needs ``page_id``, ``url``, ``html``.  A file holds the ids of a range of ``FILE``, or those without an id (-1), in the
-    order of page id, digest and length; a repeated id is a record each time, numbered by ``repeat`` from 1.  Crowded ranges are dealt to several files
-    (numbers below -1) by digest, so that no task gathers them; replicas that are to be compared take one ``layout``
-    (``crowded`` of either).  Rows leave the scan as digests.
+    Needs ``page_id``, ``url``, ``html``.  A file holds the ids of a range of ``FILE``, or those without an id, in the order
+    of page id, digest and length; a repeated id is a record each time.  Crowded ranges are dealt to files by digest, equal
+    records ``FILE`` at a time, so that no task gathers them.  Replicas keep files and order; rows leave the scan as digests.
     """
-    r = record(F.col("page_id"), F.col("url"), F.col("html"))
-    thin = pages.select("page_id", _base().alias("base"), F.octet_length(r).cast("long").alias("length"), F.sha2(r, 256).alias("sha256"))
-    layout = (crowded(pages) if layout is None else layout).select(F.col("base").alias("l_base"), "parts")
-    slot = F.xxhash64("base", F.pmod(F.xxhash64("sha256"), F.col("parts"))).bitwiseAND(F.lit((1 << 62) - 1))
-    thin = thin.join(layout, F.col("base") == F.col("l_base"), "left").withColumn("file", F.when(F.col("parts") > 1, -2 - slot).otherwise(F.col("base")))
-    order = Window.partitionBy("file").orderBy("page_id", "sha256", "length")
-    own = Window.partitionBy("file", "page_id").orderBy("sha256", "length")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return thin.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.row_number().over(own).alias("repeat"), before.alias("record_offset"), "length", "sha256")
+    sides = [record(F.col("page_id"), F.col("url"), c) for c in (F.col("html"), *copies)]
+    thin = pages.select("page_id", F.array(*[F.struct(F.octet_length(r).cast("long").alias("length"), F.sha2(r, 256).alias("sha256")) for r in sides]).alias("sides"))
+    equal = thin.groupBy("page_id", "sides").agg(F.count("*").alias("times")).withColumn("base", _base())
+    each = equal.join(stored(crowded(pages), "warc-layout"), F.col("base") == F.col("l_base"), "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    slot = F.xxhash64("base", F.pmod(F.xxhash64(F.col("sides")[0]["sha256"], F.floor(F.col("copy") / FILE)), F.col("parts"))).bitwiseAND(F.lit((1 << 61) - 1))
+    each = each.withColumn("file", F.when(F.col("parts") > 1, 2 * NO_ID - slot).otherwise(F.col("base")))
+    order = Window.partitionBy("file").orderBy("page_id", F.col("sides")[0]["sha256"], F.col("sides")[0]["length"], "copy")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = [F.struct(F.coalesce(F.sum(F.col("sides")[k]["length"]).over(before), F.lit(0)).alias("record_offset"), F.col("sides")[k]["length"].alias("length"), F.col("sides")[k]["sha256"].alias("sha256")) for k in range(len(sides))]
+    return each.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.array(*placed).alias("copies"))
 
 
-def _parents(below: DataFrame, at: str, entry: Column) -> DataFrame:
-    """Nodes over ``FAN`` consecutive rows of ``below``: ``file``, ``node``, ``hash``."""
-    rows = below.select("file", F.floor(F.col(at) / FAN).cast("long").alias("node"), F.struct(F.col(at).alias("at"), entry.alias("entry")).alias("e"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), "\n")
-    return rows.groupBy("file", "node").agg(F.sha2(joined.cast("binary"), 256).alias("hash"))
+def replica(records: DataFrame, k: int) -> DataFrame:
+    """One of the replicas in ``archives``: ``page_id``, ``file``, ``ordinal``, ``record_offset``, ``length``, ``sha256``."""
+    return records.select("page_id", "file", "ordinal", *[F.col("copies")[k][c].alias(c) for c in _RECORDS[3:]])
 
 
-def tree(records: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
-    """Levels of nodes (``file``, ``node``, ``hash``), leaves first.
+def archive(pages: DataFrame) -> DataFrame:
+    """The records of an archive of ``pages``."""
+    return replica(archives(pages), 0)
 
-    A level joins every ``FAN`` nodes below; a file of more than ``FILE`` records (repeated ids) has more than one node
-    on the last level, all of which are compared.
-    """
-    out = [_parents(records, "ordinal", F.concat_ws(":", "record_offset", "length", "sha256"))]
-    while len(out) < levels:
-        out.append(_parents(out[-1], "node", F.col("hash")))
-    return out
+
+def _above(below: Column) -> Column:
+    """The hashes of every ``FAN`` consecutive texts."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(below) - 1) / FAN).cast("int"))
+    return F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(below, i * FAN + 1, FAN), "\n").cast("binary"), 256))
+
+
+def levels_of(*replicas: DataFrame) -> int:
+    """Levels until one node is left in the largest file."""
+    most = max((r.agg(F.max("ordinal")).first()[0] or 0) for r in replicas) + 1
+    n = 1
+    while FAN**n < most:
+        n += 1
+    return n
 
 
-def roots(top: DataFrame) -> DataFrame:
-    """``r_file``, ``file_root``: the only node of a file's last level, or a hash of all its nodes in order."""
-    nodes = top.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("n"))
-    hashes = F.transform("n", lambda x: x["hash"])
-    root = F.when(F.size("n") == 1, hashes[0]).otherwise(F.sha2(F.array_join(hashes, "\n").cast("binary"), 256))
-    return nodes.select(F.col("file").alias("r_file"), root.alias("file_root"))
+def tree(records: DataFrame, levels: int) -> DataFrame:
+    """``file``, ``file_root`` and the levels ``l1`` (leaves) to ``l<levels>`` (one node), arrays of hashes."""
+    entry = F.struct("ordinal", F.concat_ws(":", "record_offset", "length", "sha256").alias("e"))
+    out = records.groupBy("file").agg(F.array_sort(F.collect_list(entry)).alias("e")).select("file", F.transform("e", lambda x: x["e"]).alias("l0"))
+    for k in range(levels):
+        out = out.withColumn(f"l{k + 1}", _above(F.col(f"l{k}")))
+    return out.select("file", F.col(f"l{levels}")[0].alias("file_root"), *[f"l{k + 1}" for k in range(levels)])
 
 
-def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``file``, ``node`` of nodes that differ or that one side lacks."""
-    b = b.select("file", "node", F.col("hash").alias("other"))
-    return a.join(b, ["file", "node"], "full").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
+def _unequal(at: Column, mine: Column, other: Column) -> Column:
+    return F.filter(at, lambda i: ~F.get(mine, i).eqNullSafe(F.get(other, i)))
 
 
-def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Where replica ``theirs`` differs: ``page_id``, ``file``, ``record_offset`` and ``status`` of each record.
+def differing(ours: DataFrame, theirs: DataFrame, levels: int) -> DataFrame:
+    """``file``, ``leaf`` of leaves that differ or that one side lacks, found from the roots downward."""
+    a, b = (t.select("file", *[F.col(c).alias(f"{side}{c}") for c in t.columns[1:]]) for t, side in ((ours, "a_"), (theirs, "b_")))
+    both = a.join(b, "file", "full").filter(~F.col("a_file_root").eqNullSafe(F.col("b_file_root"))).withColumn("bad", F.array(F.lit(0)))
+    for k in range(levels - 1, 0, -1):
+        mine, other = (F.coalesce(f"{side}_l{k}", F.array().cast("array<string>")) for side in "ab")
+        below = F.flatten(F.transform("bad", lambda i: F.sequence(i * FAN, i * FAN + FAN - 1)))
+        both = both.withColumn("bad", _unequal(below, mine, other))
+    return both.select("file", F.explode("bad").alias("leaf"))
 
-    ``damaged``: other bytes under the same id; ``moved``: the same bytes elsewhere; ``missing``: only in ours;
-    ``extra``: only in theirs.  Repeats of an id are told apart by their order in the whole file.  Equal replicas give no rows.
+
+def audit(ours: DataFrame, theirs: DataFrame, trees: tuple[DataFrame, DataFrame] | None = None, levels: int | None = None) -> DataFrame:
+    """Where replica ``theirs`` differs: ``page_id``, ``file``, ``ordinal`` (in theirs for extra records), ``record_offset`` and ``status``.
+
+    Both have the columns of ``archive``.  Within a file, records that are alike in place and bytes are left out; of the rest,
+    equal bytes under one id pair in order of offset (``moved``), then what is left of an id pairs in that order
+    (``damaged``), and what is left then is ``missing`` (only in ours) or ``extra`` (only in theirs).  A record in another
+    file is missing in the one and extra in the other.  Null ids are alike.  Equal replicas give no rows, nor do empty ones.
     """
-    up, others = tree(ours), tree(theirs)
-    bad = _differing(up[-1], others[-1])
-    for mine, other in zip(up[-2::-1], others[-2::-1], strict=True):
-        parents = bad.select("file", F.col("node").alias("up"))
-        inside = [x.join(parents, (x.file == parents.file) & (F.floor(x.node / FAN) == parents.up), "left_semi") for x in (mine, other)]
-        bad = _differing(*inside)
-    sides = []
-    for x in (ours, theirs):
-        leaf = F.floor(x.ordinal / FAN)
-        sides.append(x.join(bad, (x.file == bad.file) & (leaf == bad.node), "left_semi"))
-    a, b = sides
-    b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    both = a.join(b, (a.file == b.b_file) & a.page_id.eqNullSafe(b.b_page_id) & (a["repeat"] == b.b_repeat), "full")
-    status = F.when(F.col("b_file").isNull(), "missing").when(F.col("file").isNull(), "extra").when(F.col("sha256") != F.col("b_sha256"), "damaged").when(F.col("record_offset") != F.col("b_record_offset"), "moved")
-    pick = lambda c: F.coalesce(c, f"b_{c}").alias(c)
-    found = both.withColumn("status", status).filter("status IS NOT NULL")
-    return found.select(pick("page_id"), pick("file"), pick("record_offset"), F.col("repeat"), "status")
+    levels = levels or levels_of(ours, theirs)
+    bad = differing(*(trees or (tree(ours, levels), tree(theirs, levels))), levels)
+    at = bad.select(F.col("file").alias("d_file"), "leaf")
+    sides = [x.join(at, (x["file"] == at["d_file"]) & (F.floor(x["ordinal"] / FAN) == at["leaf"]), "left_semi").select(*_RECORDS, F.lit(side).alias("side")) for x, side in ((ours, 0), (theirs, 1))]
+    place = lambda side, c: F.max(F.when(F.col("side") == side, F.struct("ordinal", "record_offset"))).alias(c)
+    same = ["file", "page_id", "sha256", "length"]
+    rows = sides[0].unionByName(sides[1]).repartition("file")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*same, "record_offset"))).filter("n = 1")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*same, "side").orderBy("record_offset")))
+    rows = rows.groupBy(*same, "k").agg(place(0, "a"), place(1, "b"))
+    left = (F.col("a").isNull() | F.col("b").isNull()).alias("left")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("file", "page_id", F.col("a").isNull(), F.col("b").isNull()).orderBy(F.coalesce("a", "b"))))
+    rows = rows.groupBy("file", "page_id", left, "k", F.when(~left, F.col("a")).alias("moved")).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    status = F.when(~F.col("left"), "moved").when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("damaged")
+    found = F.coalesce("a", "b")
+    return rows.select("page_id", "file", found["ordinal"].alias("ordinal"), found["record_offset"].alias("record_offset"), status.alias("status"))
 
 
 #: Pages whose address has an MD5 below this are damaged in the replica that the query audits: one in 512.
 DAMAGE = "008"
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """The pages as a failing disk might return them: some (``DAMAGE``) end in another character."""
+def damaged() -> Column:
+    """The text of a page as a failing disk might return it: some (``DAMAGE``) end in another character."""
     hit = (F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary")) < DAMAGE) & (F.length("html") > 0)
-    return pages.withColumn("html", F.when(hit, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("?"))).otherwise(F.col("html")))
+    return F.when(hit, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("?"))).otherwise(F.col("html"))
 
 
 def op10_warc(pages: DataFrame) -> DataFrame:
     """Every record of the archive of ``pages`` with what the audit of its damaged replica says.
 
     ``page_id``, ``file``, ``record_offset``, ``length``, ``sha256``, ``file_root``, ``status`` (``ok`` where the audit
-    did not report the record); the root depends on every record of the file.  Null urls and texts are empty; null ids share a file; repeated rows are records each; an
-    empty table gives none.
+    did not report the record).  Null urls and texts are empty; null ids share files; repeated rows are records each; an
+    empty table gives none.  Other columns are ignored.
     """
-    pages = pages.select("page_id", "url", "html")
-    layout = stored(crowded(pages), "warc-layout")
-    ours, theirs = stored(archive(pages, layout), "warc-ours"), stored(archive(damaged(pages), layout), "warc-theirs")
-    found = audit(ours, theirs).filter("status <> 'extra'").select(F.col("page_id").alias("f_id"), F.col("file").alias("f_file"), F.col("repeat").alias("f_repeat"), "status")
-    out = ours.join(roots(tree(ours)[-1]), F.col("file") == F.col("r_file")).join(found, (F.col("file") == F.col("f_file")) & F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("repeat") == F.col("f_repeat")), "left")
+    records = stored(archives(pages.select("page_id", "url", "html"), damaged()), "warc-records")
+    ours, theirs = replica(records, 0), replica(records, 1)
+    levels = levels_of(ours)
+    trees = tuple(stored(tree(x, levels), "warc-tree") for x in (ours, theirs))
+    found = audit(ours, theirs, trees, levels).filter("status <> 'extra'").select(F.col("file").alias("f_file"), F.col("ordinal").alias("f_ordinal"), "status")
+    out = ours.join(trees[0].select("file", "file_root"), "file").join(found, (F.col("file") == F.col("f_file")) & (F.col("ordinal") == F.col("f_ordinal")), "left")
     return out.select("page_id", "file", "record_offset", "length", "sha256", "file_root", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
-_RECORD = f"""'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || nl
- || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'WARC-Date: {DATE}' || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || CAST(octet_length(encode(body)) AS VARCHAR) || nl || nl || body || nl || nl"""
-
-_HIT = f"md5(coalesce(url, '')) < '{DAMAGE}' AND length(html) > 0"
-
-
-def _side(body: str) -> str:
-    """DuckDB: digest, place and offset of every record whose text is ``body``."""
-    return f"""SELECT page_id, file, sha256, length, row_number() OVER w - 1 AS ordinal, row_number() OVER (PARTITION BY file, page_id ORDER BY sha256, length) AS rep,
-      CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset
-      FROM (SELECT page_id, coalesce(CAST(floor(page_id / {FILE}) AS BIGINT), -1) AS file, sha256(r) AS sha256, CAST(octet_length(encode(r)) AS BIGINT) AS length
-        FROM (SELECT page_id, {_RECORD} AS r FROM (SELECT page_id, url, chr(13) || chr(10) AS nl, {body} AS body FROM pages)))
-      WINDOW w AS (PARTITION BY file ORDER BY page_id, sha256, length)"""
-
-
-def _up(below: str, at: str, entry: str) -> str:
-    return f"SELECT file, {at} // {FAN} AS node, sha256(string_agg({entry}, chr(10) ORDER BY {at})) AS hash FROM {below} GROUP BY ALL"
-
+_TEXT = """'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || nl
+   || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'WARC-Date: {date}' || nl || 'Content-Type: text/html' || nl || 'Content-Length: '
+   || CAST(octet_length(encode({body})) AS VARCHAR) || nl || nl || {body} || nl || nl"""
 
-#: The plain comparison that the audit must agree with, and the same roots.
+#: What is known of the damage without an audit: a record whose bytes were changed is damaged, one behind a change of length is moved.
 ORACLE_SQL = f"""
-WITH a AS ({_side("coalesce(html, '')")}),
-b AS ({_side(f"CASE WHEN {_HIT} THEN left(html, length(html) - 1) || '?' ELSE coalesce(html, '') END")}),
-l1 AS ({_up("a", "ordinal", "CAST(record_offset AS VARCHAR) || ':' || CAST(length AS VARCHAR) || ':' || sha256")}),
-l2 AS ({_up("l1", "node", "hash")}), l3 AS ({_up("l2", "node", "hash")})
-SELECT a.page_id, a.file, a.record_offset, a.length, a.sha256, l3.hash AS file_root,
-  CASE WHEN a.sha256 <> b.sha256 THEN 'damaged' WHEN a.record_offset <> b.record_offset THEN 'moved' ELSE 'ok' END AS status
-FROM a JOIN l3 ON a.file = l3.file AND l3.node = 0 JOIN b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.rep = b.rep
+WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS good, CASE WHEN md5(coalesce(url, '')) < '{DAMAGE}' AND length(html) > 0 THEN left(html, length(html) - 1) || '?' ELSE coalesce(html, '') END AS worse,
+  chr(13) || chr(10) AS nl, coalesce(CAST(floor(page_id / {FILE}) AS BIGINT), {NO_ID}) AS file FROM pages),
+t AS (SELECT page_id, file, {_TEXT.format(date=DATE, body="good")} AS r, {_TEXT.format(date=DATE, body="worse")} AS w FROM p),
+d AS (SELECT page_id, file, sha256(r) AS sha256, sha256(w) AS other, CAST(octet_length(encode(r)) AS BIGINT) AS length, CAST(octet_length(encode(w)) AS BIGINT) AS o_length FROM t),
+a AS (SELECT *, row_number() OVER w - 1 AS ordinal, CAST(sum(length) OVER w - length AS BIGINT) AS record_offset, CAST(sum(o_length) OVER w - o_length AS BIGINT) AS o_offset
+  FROM d WINDOW w AS (PARTITION BY file ORDER BY page_id, sha256, length, other ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+depth AS (SELECT greatest(1, CAST(ceil(round(log(max(ordinal) + 1) / log({FAN}), 9)) AS INTEGER)) AS most FROM a),
+up(level, file, node, hash) AS (
+  SELECT 0, file, ordinal, record_offset || ':' || length || ':' || sha256 FROM a
+  UNION ALL
+  SELECT * FROM (SELECT any_value(level) + 1, file, node // {FAN}, sha256(string_agg(hash, chr(10) ORDER BY node)) FROM up, depth WHERE level < most GROUP BY file, node // {FAN}))
+SELECT a.page_id, a.file, record_offset, length, sha256, hash AS file_root,
+  CASE WHEN sha256 <> other THEN 'damaged' WHEN record_offset <> o_offset THEN 'moved' ELSE 'ok' END AS status
+FROM a JOIN up ON a.file = up.file JOIN depth ON up.level = depth.most
 """

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -422,24 +423,29 @@ def test_warc_offsets_and_digests(spark):
 
 
 def test_crowded_ids_are_dealt_to_files(spark):
-    pages = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 7).alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
-    layout = warc.crowded(pages)
-    assert {r.base for r in layout.collect()} == {-1, 0}
-    ours = warc.archive(pages, layout)
-    assert ours.groupBy("file").count().agg(F.max("count")).first()[0] < 3 * warc.FILE and ours.count() == 9000
-    theirs = warc.archive(pages.filter("html <> '8000'").withColumn("html", F.when(F.col("html") == "4000", "x").otherwise(F.col("html"))), layout)
-    found = warc.audit(ours, theirs)
-    assert found.filter("status = 'missing'").count() - found.filter("status = 'extra'").count() == 1
-    assert warc.audit(ours, warc.archive(pages.repartition(3), layout)).count() == 0
+    pages = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 7).alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 9 == 2, "equal").otherwise(F.col("id").cast("string")).alias("html"))
+    assert {r.l_base for r in warc.crowded(pages).collect()} == {warc.NO_ID, 0}
+    both = warc.archives(pages, F.when(F.col("html") == "4000", "x").otherwise(F.col("html"))).persist()
+    assert both.groupBy("file").count().agg(F.max("count")).first()[0] < 3 * warc.FILE and both.count() == 9000
+    ours, theirs = warc.replica(both, 0), warc.replica(both, 1)
+    found = Counter(r.status for r in warc.audit(ours, theirs).collect())
+    assert found["damaged"] == 1 and found.keys() <= {"damaged", "moved"}
+    gone = theirs.filter(F.col("ordinal") != 3)
+    found = Counter(r.status for r in warc.audit(ours, gone).collect())
+    assert found["missing"] == theirs.select("file").distinct().count() and found["damaged"] == 1
+    assert warc.audit(ours, warc.archive(pages.repartition(3))).count() == 0
 
 
 def test_descent_reads_only_differing_branches(spark):
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
-    ours = warc.archive(pages)
-    theirs = warc.archive(pages.withColumn("html", F.when(F.col("page_id") == 77, "xx").otherwise(F.col("html"))))
-    a, b = warc.tree(ours), warc.tree(theirs)
-    assert [warc._differing(x, y).count() for x, y in zip(a, b, strict=True)] == [1, 1, 1]
-    assert a[-1].filter("node = 0").count() == 4
+    ours, theirs = warc.archive(pages), warc.archive(pages.withColumn("html", F.when(F.col("page_id") == 77, "xx").otherwise(F.col("html"))))
+    levels = warc.levels_of(ours, theirs)
+    assert levels == 3
+    a, b = (warc.tree(x, levels).persist() for x in (ours, theirs))
+    assert [tuple(r) for r in warc.differing(a, b, levels).collect()] == [(0, 77 // warc.FAN)]
+    # leaves under nodes that are equal are never looked at
+    spoilt = b.withColumn("l1", F.transform("l1", lambda h, i: F.when(F.floor(i / 8) == 1, h).otherwise("other")))
+    assert {r.leaf for r in warc.differing(a, spoilt, levels).collect()} == {9} and a.filter("file_root IS NULL").count() == 0
 
 
 # --- queries ---
