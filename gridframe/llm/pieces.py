@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The words of a batch of documents that a worker has not met before are concatenated; a suffix array of that text is made
-by prefix doubling; every piece of the vocabulary is binary-searched in it, which gives the range of its occurrences; the
-occurrences are edges (start, length, piece), and sorting them by position gives the lattice of the text, which is then
+The texts of a group of documents are concatenated, a word that occurs in several places once; a suffix array of that text
+is made by prefix doubling; every piece of the vocabulary is binary-searched in it, which gives the range of its occurrences;
+the occurrences are edges (start, length, piece), and sorting them by position gives the lattice of the text, which is then
 relaxed word by word:
 
 * a unigram model's best path is found by relaxing the edges from left to right;
@@ -10,9 +10,8 @@ relaxed word by word:
   neighbouring pieces the one of the highest score (the leftmost of equals) is taken until none is left.
 
 Words can be relaxed alone because no piece of such a vocabulary has a space after another character (this is checked);
-a word here is a run of spaces and the characters up to the next one.  The ids of words met are kept in two tables
-of at most ``TABLE`` entries: a full one becomes the older one, from which words still in use return; this bounds memory
-and changes no result.
+a word here is a run of spaces and the characters up to the next one.  A group has about ``GROUP`` characters, an index of
+its words about ``INDEX`` bytes; both bound memory and change no result.  Nothing is kept from one group to the next.
 """
 
 from __future__ import annotations
@@ -29,9 +28,8 @@ from pyspark.sql import functions as F
 from gridframe.llm.common import map_batches
 
 VOCABULARY = "piece_bpe_32k.model"
-TABLE = 150_000
-#: Bytes of new words indexed at once.
-TEXT = 80_000
+#: Characters of documents taken together, bytes of one index, and bytes whose edges are relaxed at once.
+GROUP, INDEX, RELAX = 6_000_000, 400_000, 160_000
 #: Words of at most so many characters are merged together, as rows of a matrix; longer ones use a heap.
 ROWS = (6, 10, 16, 32)
 SPACE = "▁"
@@ -189,45 +187,54 @@ def edges(v: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Encoder:
-    """Encodes texts with a vocabulary; keeps the ids of words it has met."""
+    """Encodes and decodes texts with a vocabulary."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         # a run of spaces and what follows, or the start of a text without the added space
         self.cut = re.compile(r" +[^ ]*|[^ ]+").findall
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.cut((" " if self.v.prefix and t else "") + t.replace(SPACE, " ")) for t in texts]
-        if len(self.known) > TABLE:
-            self.known, self.older = {}, self.known
+        of = self.segment(set().union(*cut)).__getitem__
+        return [np.frombuffer(b"".join(map(of, own)), np.int32) for own in cut]
+
+    def segment(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word, as bytes."""
+        found: dict[str, bytes] = {}
         part: list[str] = []
         size = 0
-        for w in {w for own in cut for w in own if w not in self.known}:
-            if w in self.older:
-                self.known[w] = self.older[w]
-                continue
+        for w in words:
             part.append(w)
             size += len(w)
-            if size > TEXT:
-                self._learn(part)
+            if size > INDEX:
+                self._index(part, found)
                 part, size = [], 0
         if part:
-            self._learn(part)
-        of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, own)), np.int32) for own in cut]
+            self._index(part, found)
+        return found
 
-    def _learn(self, words: list[str]) -> None:
+    def _index(self, words: list[str], found: dict[str, bytes]) -> None:
+        """Match all pieces in the text of ``words`` and relax its edges, ``RELAX`` bytes at a time."""
         coded = [w.encode("utf-8", "replace") for w in words]
         text = np.frombuffer(b"\0".join(coded) + b"\0", np.uint8)
-        wide = self.v.longest + 1
-        table = np.zeros(len(text) * wide, np.int32)  # id + 1 by start and length
         starts, sizes, ids = edges(self.v, text)
-        table[starts * wide + sizes] = ids + 1
         ends = np.cumsum([len(c) + 1 for c in coded]) - 1
         begins = np.concatenate(([0], ends[:-1] + 1))
+        i = 0
+        while i < len(words):
+            j = max(i + 1, int(np.searchsorted(ends, begins[i] + RELAX)))
+            a, b = np.searchsorted(starts, (begins[i], ends[j - 1]))
+            at = begins[i]
+            self._relax(words[i:j], coded[i:j], text[at : ends[j - 1] + 1], begins[i:j] - at, ends[i:j] - at, (starts[a:b] - at, sizes[a:b], ids[a:b]), found)
+            i = j
+
+    def _relax(self, words: list[str], coded: list[bytes], text: np.ndarray, begins: np.ndarray, ends: np.ndarray, own: tuple, found: dict[str, bytes]) -> None:
+        wide = self.v.longest + 1
+        table = np.zeros(len(text) * wide, np.int32)  # id + 1 by start and length
+        starts, sizes, ids = own
+        table[starts * wide + sizes] = ids + 1
         chars = np.flatnonzero(text & 0xC0 != 0x80)
         low, high = np.searchsorted(chars, begins), np.searchsorted(chars, ends)
         view, size, done = memoryview(table), high - low, 0
@@ -236,12 +243,12 @@ class Encoder:
             cuts = chars[np.minimum(low[rows, None] + np.arange(most + 1), high[rows, None])]
             for r, cut in self._merge(rows, cuts, table, wide):
                 at = int(begins[r])
-                self.known[words[r]] = cut if isinstance(cut, bytes) else np.array(self._ids(coded[r], at, cut, view, wide), np.int32).tobytes()
+                found[words[r]] = cut if isinstance(cut, bytes) else np.array(self._ids(coded[r], at, cut, view, wide), np.int32).tobytes()
             done = most
         for r in np.flatnonzero(size > done).tolist():
-            own = chars[low[r] : high[r] + 1].tolist()
+            cuts = chars[low[r] : high[r] + 1].tolist()
             relax = self._merge_long if self.v.kind == BPE else self._best
-            self.known[words[r]] = np.array(relax(coded[r], int(begins[r]), own, view, wide), np.int32).tobytes()
+            found[words[r]] = np.array(relax(coded[r], int(begins[r]), cuts, view, wide), np.int32).tobytes()
 
     def _none(self, char: bytes) -> list[int]:
         """Ids of a character without a piece."""
@@ -366,12 +373,12 @@ def encoder(name: str = VOCABULARY) -> Encoder:
 
 
 def _groups(texts: pa.Array):
-    """Texts in groups of bounded size, so that what is held beside a batch is bounded by characters."""
+    """Texts in groups of about ``GROUP`` characters."""
     part, size = [], 0
     for t in texts:
         part.append(t.as_py() or "")
         size += len(part[-1])
-        if size > 1_000_000:
+        if size > GROUP:
             yield part
             part, size = [], 0
     if part:

@@ -378,20 +378,37 @@ def test_occurrences_of_pieces():
     assert found == expected
 
 
-def test_token_counts(odd, none, docs, monkeypatch):
+def test_token_counts(odd, none, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_counts._place(token_counts.VOCABULARY))
-    for df in (odd, docs):
+    for df, hot in ((odd, None), (odd, 0), (docs, None), (docs, 40)):
         rows = df.select("doc_id", "text").collect()
         n = [len(t.encode(r.text or "", add_special_tokens=False).ids) for r in rows]
         expected = [(r.doc_id, len((r.text or "").encode()), k, k > 1024) for r, k in zip(rows, n, strict=True)]
-        assert got(token_counts.op9_token_counts(df), "doc_id", "n_bytes", "n_tokens", "over_limit") == by_rows(expected)
+        assert got(token_counts.token_counts(df, hot=hot), "doc_id", "n_bytes", "n_tokens", "over_limit") == by_rows(expected)
     assert token_counts.op9_token_counts(none).count() == 0
-    monkeypatch.setattr(token_counts, "TABLE", 3)
-    c = token_counts.PieceCounter(token_counts._place(token_counts.VOCABULARY))
-    texts = ["it's  a\t\ttest ", "\r\n a", "I'll 漢字", " ", "it's"]
-    assert [c.count([x])[0] for x in texts * 2] == [len(t.encode(x).ids) for x in texts * 2]
+
+
+def test_every_pre_token_is_counted_once(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_counts._place(token_counts.VOCABULARY))
+    cut = token_counts.pre_tokenizer(token_counts.VOCABULARY)
+    found = token_counts.counted(token_counts.frequencies(docs)).collect()
+    expected = Counter(p for r in docs.select("text").collect() for p in cut.frequencies(r.text or "")[0].elements())
+    assert {r.token: r.times for r in found} == expected and len(found) == len(expected)
+    assert all(r.pieces == len(t.encode(r.token, add_special_tokens=False).ids) for r in found[:2000])
+
+
+def test_pre_tokens_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_counts._place(token_counts.VOCABULARY))
+    cut = token_counts.pre_tokenizer(token_counts.VOCABULARY)
+    for x in ["it's  a\t\ttest ", "\r\n a", "I'll 漢字", " ", "it's", "<|endoftext|> x<|endoftext|>", ""]:
+        own, specials = cut.frequencies(x)
+        assert specials + sum(n * k for n, k in zip(own.values(), cut.pieces(list(own)), strict=True)) == len(t.encode(x).ids)
 
 
 # --- 10 ---
