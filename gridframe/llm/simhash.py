@@ -8,10 +8,11 @@ linked fingerprints differ by at most one bit in one of the halves (pigeonhole),
 each half: its metric is the Hamming distance within that half, a search in it has radius 1, and fewer branches overlap
 than in one tree over all 64 bits.  The top of each tree is fitted on a bounded sample (about ``SAMPLE << DEPTH``
 fingerprints at most, chosen by hash) and splits every fingerprint into a home shard; by the triangle inequality only
-shards whose boundary lies within the radius can hold a partner, and there the fingerprint is sent as a visitor.  In a
-shard the tree grows on: ``_descend`` splits the home points by a vantage point, lets queries enter only the sides that
-the bound allows, and compares exactly in the leaves.  The sample only balances the tree: no choice of vantage point can
-lose a link.
+shards whose boundary lies within the radius can hold a partner, and there the fingerprint is sent as a visitor.  A branch
+whose fingerprints are alike in the half is split by all 64 bits.  In a shard the tree grows on: ``descend`` splits the home
+points by a vantage point, lets queries enter only the sides that the bound allows, and compares exactly in the leaves.  A
+task holds the home points of one shard; visitors, which are several times as many, stream past in blocks.  The sample only
+balances the tree: no choice of vantage point can lose a link.
 
 *Groups.*  A shard returns a spanning forest of its links (at most one edge a fingerprint), never all pairs, and the
 forests are joined by alternating star contraction, each round checkpointed.
@@ -20,6 +21,7 @@ forests are joined by alternating star contraction, each round checkpointed.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ RADIUS = 2
 #: Sampled fingerprints for each shard, points that a shard should hold, and the most levels above the shards.
 SAMPLE, SHARD, DEPTH = 32, 8_192, 15
 LEAF = 128
-#: Queries compared with a leaf at once; bounds the memory of a comparison.
-BLOCK = 8_192
+#: Queries compared with a leaf at once, and visitors of a shard taken together; both bound memory.
+BLOCK, VISITORS = 8_192, 65_536
 _LANES = np.uint64(0x0101010101010101)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -72,8 +74,13 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
     """The 64-bit fingerprint; 0 for a null text or one without words."""
+    return majority(shingle_hashes(text or b"", k))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes; 0 if there are none."""
     n, counts = 0, np.zeros(64, np.int64)
-    for h in shingle_hashes(text or b"", k):
+    for h in blocks:
         n += len(h)
         counts += _bit_counts(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]) if n else 0
@@ -120,30 +127,33 @@ def _split(points: np.ndarray, mask: np.uint64, seed: int) -> tuple[np.uint64, i
     return best and best[1:]
 
 
-def grow(sample: np.ndarray, mask: np.uint64, depth: int) -> list[tuple[int, int, int, int]]:
-    """The top of a tree as rows (vantage point, cut, near child, far child); a child below 0 is shard ``-child - 1``."""
+def grow(sample: np.ndarray, mask: np.uint64, depth: int) -> list[tuple[int, int, int, int, bool]]:
+    """The top of a tree as rows (vantage point, cut, near child, far child, by all bits); a child below 0 is shard ``-child - 1``."""
     nodes: list[list[int]] = []
     shards = 0
 
-    def build(points: np.ndarray, left: int, seed: int) -> int:
+    def build(points: np.ndarray, left: int, seed: int, m: np.uint64) -> int:
         nonlocal shards
-        found = _split(points, mask, seed) if left and len(points) >= 8 else None
+        found = _split(points, m, seed) if left and len(points) >= 8 else None
+        if found is None and left and len(points) >= 8 and m != _ALL:
+            m = _ALL  # alike in this half
+            found = _split(points, m, seed)
         if found is None:
             shards += 1
             return -shards
         v, cut = found
-        near = _distance(points, v, mask) <= cut
+        near = _distance(points, v, m) <= cut
         at = len(nodes)
-        nodes.append([int(v), cut, 0, 0])
-        nodes[at][2] = build(points[near], left - 1, 2 * seed + 1)
-        nodes[at][3] = build(points[~near], left - 1, 2 * seed + 2)
+        nodes.append([int(v), cut, 0, 0, bool(m == _ALL)])
+        nodes[at][2] = build(points[near], left - 1, 2 * seed + 1, m)
+        nodes[at][3] = build(points[~near], left - 1, 2 * seed + 2, m)
         return at
 
-    build(sample, depth, 1)
+    build(sample, depth, 1, mask)
     return [tuple(n) for n in nodes]
 
 
-def route(points: np.ndarray, tree: list, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(points: np.ndarray, tree: list, mask: np.uint64, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, index of the point, is home): the home shard, and each other that the triangle bound cannot rule out."""
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
     todo = [(0 if tree else -1, np.arange(len(points)), np.ones(len(points), bool))]
@@ -154,9 +164,9 @@ def route(points: np.ndarray, tree: list, mask: np.uint64, radius: int) -> tuple
         if at < 0:
             out.append((-at - 1, idx, home))
             continue
-        v, cut, near, far = tree[at]
-        d = _distance(points[idx], np.uint64(v), mask)
-        a, b = d - radius <= cut, d + radius > cut
+        v, cut, near, far, whole = tree[at]
+        d, r = (_distance(points[idx], np.uint64(v), _ALL), radius) if whole else (_distance(points[idx], np.uint64(v), mask), reach)
+        a, b = d - r <= cut, d + r > cut
         todo.append((near, idx[a], home[a] & (d[a] <= cut)))
         todo.append((far, idx[b], home[b] & (d[b] > cut)))
     if not out:
@@ -181,8 +191,11 @@ def _link(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(i, j), np.minimum(i, j))
 
 
-def _descend(points: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.uint64, reach: int, radius: int, parent: np.ndarray) -> None:
-    """Link every point of ``visit`` with the points of ``home`` within ``radius``; all are indices into ``points``."""
+def descend(points: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.uint64, reach: int, radius: int, meet: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Call ``meet`` with every pair of a point of ``visit`` and one of ``home`` within ``radius``; all are indices into ``points``.
+
+    A pair within ``radius`` has to be within ``reach`` in the bits of ``mask``, which is what the bounds use.
+    """
     todo = [(home, visit, mask, reach, 1)]
     while todo:
         own, ask, m, r, seed = todo.pop()
@@ -198,7 +211,7 @@ def _descend(points: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.u
                 part = ask[k : k + BLOCK]
                 for c in range(0, len(own), LEAF):
                     a, b = np.nonzero(np.bitwise_count(points[part][:, None] ^ mine[None, c : c + LEAF]) <= radius)
-                    _link(parent, part[a], own[c : c + LEAF][b])
+                    meet(part[a], own[c : c + LEAF][b])
             continue
         v, cut = found
         near = _distance(points[own], v, m) <= cut
@@ -207,15 +220,60 @@ def _descend(points: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.u
         todo.append((own[~near], ask[d + r > cut], m, r, 2 * seed + 2 & 0xFFFF))
 
 
-def shard_forest(fps: np.ndarray, home: np.ndarray, mask: np.uint64, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, root) of a spanning forest over a shard's links."""
-    order = np.argsort(fps, kind="stable")
-    points, home = fps[order].view(np.uint64), home[order]
-    parent = np.arange(len(points))
-    _descend(points, np.flatnonzero(home), np.arange(len(points)), mask, reach, radius, parent)
-    root = _roots(parent, np.arange(len(points)))
-    linked = np.flatnonzero(root != np.arange(len(points)))
-    return points[linked].view(np.int64), points[root[linked]].view(np.int64)
+class Shard:
+    """The home points of a shard and the components that are known of them; visitors are asked a block at a time."""
+
+    def __init__(self, half: tuple[np.uint64, int], radius: int):
+        self.half, self.radius = half, radius
+        self.parts: list[np.ndarray] = []
+        self.points: np.ndarray | None = None
+        self.waiting: list[np.ndarray] = []
+
+    def add(self, fps: np.ndarray, home: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Take rows, all home points before any visitor; gives edges where enough visitors wait."""
+        if home.any():
+            self.parts.append(fps[home])
+        if not home.all():
+            self.waiting.append(fps[~home])
+        return self.answer() if sum(map(len, self.waiting)) >= VISITORS else []
+
+    def answer(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Edges (fingerprint, root) that join what the waiting visitors, and at first the home points, link."""
+        out = []
+        if self.points is None:
+            self.points = np.sort(np.concatenate([*self.parts, np.empty(0, np.uint64)]))
+            self.parent, self.parts = np.arange(len(self.points)), []
+            out.append(self._join(np.arange(len(self.points)), self.points))
+        if self.waiting:
+            n, asked = len(self.points), np.concatenate(self.waiting)
+            self.waiting = []
+            out.append(self._join(np.arange(n, n + len(asked)), np.concatenate((self.points, asked))))
+        return out
+
+    def _join(self, ask: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.points)
+        parent = np.concatenate((self.parent, np.arange(n, len(points))))
+        tops = np.flatnonzero(parent == np.arange(len(parent)))  # only these can get another root
+        descend(points, np.arange(n), ask, *self.half, self.radius, lambda i, j: _link(parent, i, j))
+        root = _roots(parent, tops)
+        moved = root != tops
+        self.parent = _roots(parent, np.arange(n))
+        return points[tops[moved]], points[root[moved]]
+
+
+def search(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest of each shard's links; ``rows`` (shard, fingerprint, is home) come sorted by shard, home points first."""
+    halves, at, open_ = _halves(radius), None, None
+    for shard, fps, home in rows:
+        starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        for i, j in zip(starts, [*starts[1:], len(shard)], strict=True):
+            if shard[i] != at:
+                if open_:
+                    yield from open_.answer()
+                at, open_ = shard[i], Shard(halves[shard[i] % 2], radius)
+            yield from open_.add(fps[i:j], home[i:j])
+    if open_:
+        yield from open_.answer()
 
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
@@ -236,18 +294,17 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         fps = b.column("fp").to_numpy(zero_copy_only=False)
         parts = []
         for t, (mask, reach) in enumerate(halves):
-            shard, idx, home = route(fps.view(np.uint64), trees[t], mask, reach)
+            shard, idx, home = route(fps.view(np.uint64), trees[t], mask, reach, radius)
             parts.append((shard * 2 + t, fps[idx], home))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["shard", "fp", "home"])
 
-    def search(t: pa.Table) -> pa.Table:
-        half = t.column("shard")[0].as_py() % 2
-        mask, reach = halves[half]
-        a, b = shard_forest(t.column("fp").to_numpy(), t.column("home").to_numpy(), mask, reach, radius)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ([b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp", "home")] for b in batches if b.num_rows)
+        for a, b in search(((s, f.view(np.uint64), h) for s, f, h in rows), radius):
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
 
     sent = map_batches(distinct.select("fp"), send, "shard int, fp long, home boolean")
-    return sent.repartition(2 << depth, "shard").groupBy("shard").applyInArrow(search, "a long, b long")
+    return sent.repartition(2 << depth, "shard").sortWithinPartitions("shard", F.desc("home")).mapInArrow(found, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -86,31 +86,45 @@ def _spread(rng, n, near):
     return np.unique(np.array(base + close + ball, np.uint64))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_trees_lose_no_link(seed):
+def _all_links(points):
+    """Component of each point, by comparing all pairs."""
+    parent = np.arange(len(points))
+    for i, x in enumerate(points):
+        js = np.flatnonzero(np.bitwise_count(points[i + 1 :] ^ x) <= 2) + i + 1
+        simhash._link(parent, np.full(len(js), i), js)
+    return simhash._roots(parent, np.arange(len(points)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trees_lose_no_link(seed, monkeypatch):
+    monkeypatch.setattr(simhash, "VISITORS", 300)
     rng = random.Random(seed)
     points = _spread(rng, 3000, 400)
-    expected = {}
-    for i, x in enumerate(points):
-        for j in np.flatnonzero(np.bitwise_count(points[i + 1 :] ^ x) <= 2) + i + 1:
-            expected.setdefault(i, set()).add(int(j))
+    if seed == 3:  # nearly all alike in one half
+        points = np.unique((points & np.uint64(0xFFFFFFFF)) | np.uint64(77 << 32))
     parent = np.arange(len(points))
     at = {int(p): i for i, p in enumerate(points)}
     for mask, reach in simhash._halves(2):
         tree = simhash.grow(points[::7], mask, 4)
-        shard, idx, home = simhash.route(points, tree, mask, reach)
+        shard, idx, home = simhash.route(points, tree, mask, reach, 2)
         assert sorted(idx[home].tolist()) == list(range(len(points)))
-        for s in np.unique(shard):
-            on = shard == s
-            a, b = simhash.shard_forest(points[idx[on]].view(np.int64), home[on], mask, reach, 2)
-            for x, y in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist(), strict=True):
+        order = np.lexsort((~home, shard))
+        half = int(mask != simhash._halves(2)[0][0])
+        rows = (shard[order] * 2 + half, points[idx[order]], home[order])
+        for a, b in simhash.search((tuple(x[i : i + 700] for x in rows) for i in range(0, len(order), 700)), 2):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 simhash._link(parent, np.array([at[x]]), np.array([at[y]]))
-    root = simhash._roots(parent, np.arange(len(points)))
-    full = np.arange(len(points))
-    for i, js in expected.items():
-        for j in js:
-            simhash._link(full, np.array([i]), np.array([j]))
-    assert (root == simhash._roots(full, np.arange(len(points)))).all()
+    assert (simhash._roots(parent, np.arange(len(points))) == _all_links(points)).all()
+
+
+def test_half_alike_is_split_and_bounded():
+    """A million fingerprints alike in one half go to many shards of bounded size."""
+    rng = np.random.default_rng(5)
+    points = np.unique(rng.integers(0, 1 << 32, 1_000_000, np.uint64)) | np.uint64(9 << 32)
+    mask, reach = simhash._halves(2)[1]
+    shard, idx, home = simhash.route(points, simhash.grow(points[::100], mask, 7), mask, reach, 2)
+    sizes = np.bincount(shard[home])
+    assert home.sum() == len(points) and len(sizes) > 100 and sizes.max() < len(points) / 20
 
 
 def test_components_of_a_chain_and_a_hub(spark):
@@ -125,8 +139,13 @@ def test_links_by_shards(spark):
     points = _spread(random.Random(9), 30_000, 300)
     df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
     a = {r.node: r.label for r in simhash.components(simhash.links(df, len(points))).collect()}
-    b = {r.node: r.label for r in simhash.components(simhash.links(df, 1)).collect()}  # one shard
-    assert a == b and len(a) > 500
+    of = _all_links(points)
+    signed = points.view(np.int64)
+    low = {}
+    for r, x in zip(of.tolist(), signed.tolist(), strict=True):
+        low[r] = min(low.get(r, x), x)
+    often = Counter(of.tolist())
+    assert a == {x: low[r] for r, x in zip(of.tolist(), signed.tolist(), strict=True) if often[r] > 1} and len(a) > 500
 
 
 # --- 2 ---
