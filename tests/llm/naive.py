@@ -42,6 +42,31 @@ def groups(fps, radius=2):
     return [find(i) for i in range(len(fps))]
 
 
+def similar_groups(texts, least=0.8):
+    """Group number of each text, and the pairs of different sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    having, root, pairs = defaultdict(list), list(range(len(texts))), []
+    for i, s in enumerate(sets):
+        for x in s or {()}:
+            having[x].append(i)
+    common = Counter((i, j) for at in having.values() for n, i in enumerate(at) for j in at[n + 1 :])
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), n in common.items():
+        if 9 * n >= 4 * (len(sets[i]) + len(sets[j])):
+            if sets[i] != sets[j]:
+                pairs.append((i, j))
+            root[max(up(i), up(j))] = min(up(i), up(j))
+    return [up(i) for i in range(len(texts))], pairs
+
+
 def quality(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = text or ""

@@ -19,7 +19,7 @@ def plain(rows):
     yield rows
     rows = [r for r in rows if naive.keeps(r[1], quality_rules.RULES)]
     yield rows
-    of = naive.groups([naive.fingerprint(t) for _, t, _, _ in rows])
+    of, _ = naive.similar_groups([t for _, t, _, _ in rows])
     best = {}
     for r, g in zip(rows, of, strict=True):
         best[g] = min(best.get(g, r), r, key=lambda x: x[0])
