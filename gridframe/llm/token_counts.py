@@ -115,6 +115,19 @@ def counted(found: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return map_batches(found.select("token", "times"), run, "token string, times long, pieces long")
 
 
+def frequent(pieces: DataFrame, most: int) -> DataFrame:
+    """``token``, ``pieces`` of the most frequent short pre-tokens, at most ``most``: those above a frequency found by a histogram, not by a sort."""
+    level = F.floor(F.log2("times") * 16)
+    short = pieces.filter(F.octet_length("token") <= HOT_BYTES)
+    least, n = None, 0
+    for r in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a row a level, about a thousand
+        n += r["count"]
+        if n > most:
+            break
+        least = r["level"]
+    return short.filter("false" if least is None else level >= least).select("token", "pieces")
+
+
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, hot: int | None = None) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` for each row of ``docs`` (``doc_id``, ``text``; others ignored).
 
@@ -124,7 +137,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     """
     hot = HOT if hot is None else hot
     pieces = stored(counted(frequencies(docs, vocabulary), vocabulary), "token-pieces")
-    table = pieces.filter(F.octet_length("token") <= HOT_BYTES).orderBy(F.desc("times")).limit(hot).select("token", "pieces").toArrow()
+    table = frequent(pieces, hot).toArrow()
     shared = docs.sparkSession.sparkContext.broadcast((table.column("token").to_pylist(), table.column("pieces").to_numpy()))
     tables: dict[int, dict] = {}
 
