@@ -9,10 +9,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.operators.columns import Key, names_of
+from gridframe.operators.columns import Key, col, fresh, names_of
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "fullouter": "full", "full_outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti"}
-#: Spark's hints for the algorithms. Advice: a plan may still broadcast a side that is known to be small.
+#: Spark's hints for the algorithms. They are followed also where a side is small enough to broadcast; None leaves it to Spark.
 HINT = {"sort": "merge", "hash": "shuffle_hash"}
 
 
@@ -71,11 +71,17 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
     Values fall into buckets of the given width and ranges are listed under each bucket that they touch, which makes the
     condition an equi-join; a bucket should be about as wide as a typical range.
     """
-    a = left.withColumn("_bucket", F.floor(F.col(value) / bucket))
-    b = right.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.greatest(F.floor(F.col(low) / bucket), F.ceil(F.col(high) / bucket) - 1))))
-    b = b.withColumnRenamed("_bucket", "_bucket_r")
-    cond = (F.col("_bucket") == F.col("_bucket_r")) & (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
-    return a.join(b, cond, how).drop("_bucket", "_bucket_r")
+    mine = fresh(left, "_bucket")
+    while mine in right.columns:
+        mine = fresh(left, mine + "_")
+    other = mine + "_r"
+    while other in left.columns or other in right.columns:
+        other += "_"
+    first = F.floor(col(low) / bucket)
+    a = left.withColumn(mine, F.floor(col(value) / bucket))
+    b = right.withColumn(other, F.explode(F.sequence(first, F.greatest(first, F.ceil(col(high) / bucket) - 1))))
+    cond = (F.col(mine) == F.col(other)) & (col(value) >= col(low)) & (col(value) < col(high))
+    return a.join(b, cond, how).drop(mine, other)
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: Key | Sequence[Key], nulls_equal: bool = True) -> DataFrame:

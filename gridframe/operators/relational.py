@@ -40,7 +40,7 @@ def select(df: DataFrame, predicate: Column | str | Callable[[pd.DataFrame], pd.
 
 
 def select_rows(df: DataFrame, predicate: Callable[[dict], bool]) -> DataFrame:
-    """Rows for which a function of one row, given as a dict, is true; for predicates that know no vectors."""
+    """Rows for which a function of one row, given as a dict, is true: a Python call a row, for predicates that know no vectors; ``select`` takes those that do."""
     return select(df, lambda pdf: pd.Series([bool(predicate(r)) for r in pdf.to_dict("records")], index=pdf.index, dtype=bool))
 
 

@@ -92,10 +92,13 @@ def concat_columns(parts: Sequence[DataFrame], on: Key | Sequence[Key], how: str
     for n, p in enumerate(parts[1:], 1):
         new = {c: c if c not in seen else f"{c}_{n}" for c in p.columns if c not in keys}
         seen |= set(new.values())
-        p = p.select(*[col(k).alias(f"_c{i}") for i, k in enumerate(names_of(p, list(keys)))], *[col(c).alias(x) for c, x in new.items()])
-        cond = reduce(lambda x, y: x & y, [col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)])
+        mark = "_c"
+        while any(c.startswith(mark) for c in (*seen, *p.columns)):
+            mark += "_"
+        p = p.select(*[col(k).alias(f"{mark}{i}") for i, k in enumerate(names_of(p, list(keys)))], *[col(c).alias(x) for c, x in new.items()])
+        cond = reduce(lambda x, y: x & y, [col(k).eqNullSafe(F.col(f"{mark}{i}")) for i, k in enumerate(keys)])
         both = out.join(p, cond, {"outer": "full"}.get(how, how))
-        ks = [F.coalesce(col(k), F.col(f"_c{i}")).alias(k) for i, k in enumerate(keys)]
+        ks = [F.coalesce(col(k), F.col(f"{mark}{i}")).alias(k) for i, k in enumerate(keys)]
         out = both.select(*ks, *[col(c) for c in out.columns if c not in keys], *[col(x) for x in new.values()])
     return out
 

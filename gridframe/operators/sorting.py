@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.operators.columns import Key, col, names_of
+from gridframe.operators.columns import Key, col, fresh, names_of
 from gridframe.session import stored
 
 
@@ -47,34 +47,40 @@ def tail(df: DataFrame, n: int, by: Key | Sequence[Key], ascending: bool | Seque
 top_k = head
 
 
-def with_ordinal(df: DataFrame, name: str = "ordinal", by: Key | Sequence[Key] | None = None, ascending: bool | Sequence[bool] = True) -> DataFrame:
-    """``df`` with each row's position from 0, in the order of ``by`` or else of the source.
+def with_ordinal(df: DataFrame, name: str = "ordinal", by: Key | Sequence[Key] | None = None, ascending: bool | Sequence[bool] = True, na_position: str | None = None) -> DataFrame:
+    """``df`` with each row's position from 0, in the order of ``by`` or else of the source; a column ``name`` is replaced.
 
     Without a window over all rows: the (sorted) frame is written once to the shared folder, partition by partition, with
     each row's place in its partition; the partitions' row counts, one row a partition, give the offsets.  The result
     itself lies in no particular order.
     """
-    rows = df if by is None else sort(df, by, ascending)
-    placed = stored(rows.withColumn("_mid", F.monotonically_increasing_id()), "ordinal")
-    part, at = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
-    from pyspark.sql import Window
+    rows = df if by is None else sort(df, by, ascending, na_position)
+    mid = fresh(df, "_mid")
+    placed = stored(rows.withColumn(mid, F.monotonically_increasing_id()), "ordinal")
+    part, at = F.shiftright(mid, 33), F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("p")).agg(F.count("*").alias("c"))
+    offsets = counts.select(F.struct("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("o")).alias(fresh(placed, "_offset")))
+    offset = F.col(offsets.columns[0])
+    out = placed.join(offsets, part == offset["p"])
+    return out.select(*[col(c) for c in df.columns if c != name], (offset["o"] + at).alias(name))
 
-    offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))
-    return placed.withColumn("_part", part).join(offsets, F.col("_part") == F.col("_p")).withColumn(name, F.col("_o") + at).select(*[col(c) for c in df.columns], col(name))
+
+#: Rows up to which a slice is a limit.
+DEEP = 1_000_000
 
 
 def slice_rows(df: DataFrame, offset: int, length: int, by: Key | Sequence[Key] | None = None, ascending: bool | Sequence[bool] = True) -> DataFrame:
     """``length`` rows from position ``offset``, clamped to what there is.
 
-    Shallow slices are limits; deep ones (over a million rows from the start) are found by ordinals, since a limit brings
-    all rows before the slice to one task.
+    Shallow slices are limits; deep ones (over ``DEEP`` rows from the start) are found by ordinals, since a limit brings
+    all rows before the slice to one task.  Both give the same rows in the same order.
     """
     if offset < 0 or length < 0:
         raise ValueError(f"slice of {length} rows from {offset}")
-    if offset + length <= 1_000_000:
+    if offset + length <= DEEP:
         return (df if by is None else sort(df, by, ascending)).offset(offset).limit(length)
-    return with_ordinal(df, "_ordinal", by, ascending).filter((F.col("_ordinal") >= offset) & (F.col("_ordinal") < offset + length)).orderBy("_ordinal").drop("_ordinal")
+    name = fresh(df, "_ordinal")
+    return with_ordinal(df, name, by, ascending).filter((F.col(name) >= offset) & (F.col(name) < offset + length)).orderBy(name).drop(name)
 
 
 def merge_sorted(parts: Sequence[DataFrame], by: Key | Sequence[Key], ascending: bool | Sequence[bool] = True) -> DataFrame:

@@ -12,24 +12,36 @@ from pyspark.sql import types as T
 from gridframe.functions.types import resolve_type
 from gridframe.operators.columns import Key, col, names_of
 
-#: Rows on which a function is tried to find its result's type.
-TRIED = 100
+#: The type of a column by the kinds of values that are in it.
+_KINDS = {(): T.StringType(), ("bool",): T.BooleanType(), ("int",): T.LongType(), ("float",): T.DoubleType(), ("float", "int"): T.DoubleType(), ("str",): T.StringType(), ("bytes",): T.BinaryType()}
 
 
-def _infer(values: pd.Series) -> T.DataType:
-    values = values.dropna()
-    if values.empty:
-        return T.StringType()
-    for kind, spark in ((bool, T.BooleanType()), (int, T.LongType()), ((int, float), T.DoubleType()), (str, T.StringType()), (bytes, T.BinaryType())):
-        if values.map(lambda v, k=kind: isinstance(v.item() if hasattr(v, "item") else v, k)).all():
-            return spark
-    raise TypeError("results have no common type; give dtype")
+def _kinds_of(values: pd.Series) -> list[str]:
+    """The kinds of a batch's results; nulls have none."""
+    types = {type(v.item() if hasattr(v, "item") else v) for v in values.dropna()}
+    return sorted({next((k.__name__ for k in (bool, int, float, str, bytes) if issubclass(t, k)), t.__name__) for t in types})
+
+
+def infer_types(df: DataFrame, fn: Callable[[pd.Series], pd.Series]) -> dict[str, T.DataType]:
+    """The type of ``fn`` of every column, over all rows: long where all results are whole numbers, double where some are not, string where all are null; TypeError for a mixture of other kinds."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [(c, k) for c in pdf.columns for k in _kinds_of(pd.Series(fn(pdf[c])))]
+            yield pd.DataFrame({"column": [c for c, _ in found], "kind": [k for _, k in found]}, dtype=object)
+
+    kinds: dict[str, list[str]] = {c: [] for c in df.columns}
+    for r in df.mapInPandas(run, "column string, kind string").distinct().collect():  # a few rows a column
+        kinds[r["column"]].append(r["kind"])
+    wrong = {c: k for c, k in kinds.items() if tuple(sorted(k)) not in _KINDS}
+    if wrong:
+        raise TypeError(f"results have no common type, give dtype: {wrong}")
+    return {c: _KINDS[tuple(sorted(k))] for c, k in kinds.items()}
 
 
 def infer_map(df: DataFrame, fn: Callable[[pd.Series], pd.Series], dtype=None) -> DataFrame:
-    """``fn`` of every column as a whole (a batch at a time). Without ``dtype`` the type is found on the first rows, at once."""
-    head = df.limit(TRIED).toPandas() if dtype is None else None
-    kinds = {c: _infer(pd.Series(fn(head[c]))) if dtype is None else resolve_type(dtype) for c in df.columns}
+    """``fn`` of every column as a whole (a batch at a time). Without ``dtype`` a pass over all rows finds the types, at once."""
+    kinds = infer_types(df, fn) if dtype is None else dict.fromkeys(df.columns, resolve_type(dtype))
 
     def one(c: str):
         wrapped = F.pandas_udf(lambda s: pd.Series(fn(s)), kinds[c])
@@ -39,7 +51,7 @@ def infer_map(df: DataFrame, fn: Callable[[pd.Series], pd.Series], dtype=None) -
 
 
 def apply_map(df: DataFrame, fn: Callable, dtype=None) -> DataFrame:
-    """``fn`` of every cell; nulls are passed as None."""
+    """``fn`` of every cell, called for one cell at a time since it is a function of a scalar; nulls are passed as None. ``infer_map`` takes functions of whole batches."""
     return infer_map(df, lambda s: s.astype(object).where(s.notna(), None).map(fn), dtype)
 
 

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The shared folder for written intermediates, ``spark.checkpoint.dir``.
+
+    Only a session of one process may leave it unset, and then a folder of this machine is set; elsewhere executors would
+    not see each other's files, which is a RuntimeError.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), "gridframe-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -30,12 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete what this process has stored in the shared folder; frames made of it can no longer be read."""
+def written() -> int:
+    """How many tables this process has stored and not discarded; a mark for ``discard``."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what this process has stored in the shared folder since the mark ``since``, but for the last ``keep`` tables; frames made of it can no longer be read."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    end = max(since, len(_written) - keep)
+    for name in _written[since:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _written[since:end]
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,27 +77,72 @@ def _lines(spark: SparkSession, paths: list[str], o: CSVReadOptions) -> DataFram
         if len(names) != len(df.columns):
             raise ValueError(f"{len(names)} names for {len(df.columns)} columns")
         return df.toDF(*names)
-    # rows are skipped at the start of each file: only its first block is numbered
+    return _records(spark, paths, o) if o.newlines_in_values else _after_skipped(spark, paths, o)
+
+
+def _named(records: list[list[str]], o: CSVReadOptions) -> list[str]:
+    """Names of the columns, from the options or the first record left."""
+    names = list(o.column_names) or ((records[0] if o.header else [str(i) for i in range(len(records[0]))]) if records else [])
+    if not names:
+        raise ValueError("no rows are left to read")
+    return names
+
+
+def _dialect(o: CSVReadOptions) -> dict:
+    return {"delimiter": o.delimiter, "quotechar": o.quote if o.use_quoting else None, "quoting": csv.QUOTE_MINIMAL if o.use_quoting else csv.QUOTE_NONE, "doublequote": o.double_quote, "escapechar": o.escape if o.use_escaping else None}
+
+
+def _after_skipped(spark: SparkSession, paths: list[str], o: CSVReadOptions) -> DataFrame:
+    """All values as strings, without the first lines of each file, of which only the first block is numbered."""
     text = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
     start = text.filter("b = 0").withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy("m"))).filter(F.col("n") > o.skip_rows)
-    parsed = lambda c: F.split(c, f"\\Q{o.delimiter}\\E")
-    named = list(o.column_names)
+    first = start.filter(F.col("n") == o.skip_rows + 1).orderBy("f").select("value").first()
+    named = _named(list(csv.reader([first[0]], **_dialect(o))) if first else [], o)
     if o.header:
-        first = start.filter(F.col("n") == o.skip_rows + 1).orderBy("f").select(parsed("value")).first()
-        named = named or [x.strip(o.quote) for x in (first[0] if first else [])]
         start = start.filter(F.col("n") > o.skip_rows + 1)
     rest = start.select("value").unionAll(text.filter("b > 0").select("value"))
-    if not named:
-        first = rest.select(parsed("value")).first()
-        named = [str(i) for i in range(len(first[0] if first else []))]
-    if not named:
-        raise ValueError("no rows are left to read")
-    schema = ", ".join(f"`{c}` string" for c in named)
-    opts = {"sep": o.delimiter, "quote": o.quote, "escape": o.escape if o.use_escaping else o.quote, "nullValue": "\0"}
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in named)
+    opts = {"sep": o.delimiter, "quote": o.quote if o.use_quoting else "", "escape": o.escape if o.use_escaping else (o.quote if o.double_quote else "\\"), "nullValue": "\0"}
     rows = rest.filter(F.length("value") > 0) if o.ignore_empty_lines else rest
     return rows.select(F.from_csv("value", schema, opts).alias("r")).select("r.*").na.fill("")
 
 
+def _records(spark: SparkSession, paths: list[str], o: CSVReadOptions) -> DataFrame:
+    """As ``_after_skipped`` for values that may hold line breaks: a file can then only be read from its start, in one task.
+
+    Missing values at the end of a record are empty, values beyond the last column are left out.
+    """
+    dialect, skip, header, empty = _dialect(o), o.skip_rows, o.header, not o.ignore_empty_lines
+
+    def split(content: bytes):
+        lines = io.StringIO(content.decode("utf-8-sig"), newline="")
+        for _ in range(skip):
+            lines.readline()
+        return (r for r in csv.reader(lines, **dialect) if r or empty)
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+
+    def first(batches):
+        for pdf in batches:
+            found = [(p, next(split(c), None)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pd.DataFrame([x for x in found if x[1] is not None], columns=["path", "cells"])
+
+    top = files.mapInPandas(first, "path string, cells array<string>").orderBy("path").first()
+    named = _named([list(top["cells"])] if top else [], o)
+    n = len(named)
+
+    def rows(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                own = split(content)
+                if header:
+                    next(own, None)
+                while part := list(itertools.islice(own, 10_000)):
+                    yield pd.DataFrame([(r + [""] * n)[:n] for r in part], columns=[f"c{i}" for i in range(n)], dtype=object)
+
+    return files.mapInPandas(rows, ", ".join(f"c{i} string" for i in range(n))).toDF(*named)
+
+
 def _typed(df: DataFrame, o: CSVReadOptions) -> DataFrame:
     nulls, yes, no = list(o.null_values), list(o.true_values), list(o.false_values)
     empty = {c: col(c).isin(nulls) for c in df.columns}
@@ -126,8 +175,8 @@ def _typed(df: DataFrame, o: CSVReadOptions) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, paths: Paths, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows of all files; only the named columns are read."""
-    df = spark.read.parquet(*listed(paths))
+    """Rows of all files; only the named columns are read. A path of a ``_metadata`` file stands for its folder."""
+    df = spark.read.parquet(*[p.removesuffix("/_metadata") for p in listed(paths)])
     return df if columns is None else df.select(*[col(c) for c in columns])
 
 

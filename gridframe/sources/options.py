@@ -80,7 +80,8 @@ class CSVWriteOptions:
 
 @dataclass
 class ParquetOptions:
-    """``chunk_size`` bounds rows in a file; ``writer`` are further options of Spark's writer."""
+    """``chunk_size`` bounds rows in a file; ``metadata_file`` adds a summary of all footers; ``writer`` are further options of Spark's writer."""
 
     chunk_size: int | None = None
+    metadata_file: bool = False
     writer: Mapping[str, str] = field(default_factory=dict)

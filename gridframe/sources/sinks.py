@@ -41,9 +41,11 @@ def write_csv(df: DataFrame, path: str, options: CSVWriteOptions | None = None,
 
 
 def write_parquet(df: DataFrame, path: str, options: ParquetOptions | None = None, mode: str = "overwrite", name_function: NameFunction = None) -> None:
-    """A folder of Parquet files, one a partition or more."""
+    """A folder of Parquet files, one a partition or more; with ``metadata_file`` also ``_metadata``, the footers of all files in one."""
     o = options or ParquetOptions()
-    w = df.write.mode(mode).options(**o.writer)
+    if o.metadata_file and (o.chunk_size or name_function):
+        raise ValueError("a metadata file names the files as they are written: no chunk_size or name_function with it")
+    w = df.write.mode(mode).options(**({"parquet.summary.metadata.level": "ALL"} if o.metadata_file else {}), **o.writer)
     (w.option("maxRecordsPerFile", o.chunk_size) if o.chunk_size else w).parquet(path)
     _named(df, path, name_function)
 
