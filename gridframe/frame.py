@@ -521,7 +521,10 @@ class DataFrame:
         total = len(self)
         return self.slice(max(0, total - n), min(n, total))
 
-    def sort_values(self, by, axis: int = 0, ascending=True, inplace: bool = False, na_position: str | None = None, env: Env | None = None, **_) -> DataFrame:
+    def sort_values(self, by, axis: int = 0, ascending=True, inplace: bool = False, na_position: str | None = None, env: Env | None = None) -> DataFrame:
+        """Rows in the order of columns; nulls are the largest unless ``na_position`` says ``first`` or ``last``. ``axis`` can only be 0."""
+        if axis:
+            raise ValueError("only rows can be sorted")
         s = self._settled()
         out = self._of(sorting.sort(s._src, self._names(by), ascending, na_position), s._cols, s._index)
         return self._result(out, inplace)
@@ -534,18 +537,21 @@ class DataFrame:
 
     # --- two frames ---
 
-    def join(self, other: DataFrame, on=None, how: str = "left", lsuffix: str = "l", rsuffix: str = "r", algorithm: str | None = "sort", sort: bool = False, env: Env | None = None) -> DataFrame:
-        """With the labels of ``other``: by ``on``, or by own labels. Names on both sides are prefixed."""
+    def join(self, other: DataFrame, on=None, how: str = "left", lsuffix: str = "l", rsuffix: str = "r", algorithm: str | None = None, sort: bool = False, env: Env | None = None) -> DataFrame:
+        """With the labels of ``other``: by ``on``, or by own labels. Names on both sides are prefixed; ``sort`` orders by the keys.
+
+        Without ``algorithm`` Spark chooses, and broadcasts a side that it knows to be small.
+        """
         if not other._index:
             raise ValueError("the other frame has no labels to join on")
         a, b = self._settled(), other._settled()
         left = self._names(on) if on is not None else [self._label(i) for i in range(len(a._index))]
         if not left:
             raise ValueError("neither 'on' nor labels to join by")
-        return self._joined(a, b, left, [other._label(i) for i in range(len(b._index))], how, algorithm, (lsuffix, rsuffix), True)
+        return self._joined(a, b, left, [other._label(i) for i in range(len(b._index))], how, algorithm, (lsuffix, rsuffix), True, sort=sort)
 
     def merge(self, right: DataFrame, how: str = "inner", algorithm: str | None = None, on=None, left_on=None, right_on=None, left_index: bool = False, right_index: bool = False, sort: bool = False, suffixes: tuple[str, str] = ("_x", "_y"), style: str = "prefix", nulls_equal: bool = True, env: Env | None = None) -> DataFrame:
-        """Both copies of the keys stay; names on both sides are marked before them, or after with ``style='suffix'``."""
+        """Both copies of the keys stay; names on both sides are marked before them, or after with ``style='suffix'``; ``sort`` orders by the keys."""
         if on is not None:
             if left_on is not None or right_on is not None or left_index or right_index:
                 raise ValueError("'on' excludes the other ways to name keys")
@@ -557,14 +563,17 @@ class DataFrame:
         a, b = self._settled(), right._settled()
         lk = [self._label(i) for i in range(len(a._index))] if left_index else self._names(left_on)
         rk = [right._label(i) for i in range(len(b._index))] if right_index else right._names(right_on)
-        return self._joined(a, b, lk, rk, how, algorithm, suffixes, style == "prefix", nulls_equal)
+        return self._joined(a, b, lk, rk, how, algorithm, suffixes, style == "prefix", nulls_equal, sort)
 
-    def _joined(self, a, b, left, right, how, algorithm, marks, before: bool, nulls_equal: bool = True) -> DataFrame:
+    def _joined(self, a, b, left, right, how, algorithm, marks, before: bool, nulls_equal: bool = True, sort: bool = False) -> DataFrame:
         names = joins.joined_names(a.columns, b.columns, marks if before else ("", ""), ("", "") if before else marks)
         x = a._src.toDF(*[f"_a{i}" for i in range(len(a._src.columns))])
         y = b._src.toDF(*[f"_b{i}" for i in range(len(b._src.columns))])
         at = lambda f, mark, n: f"{mark}{f._src.columns.index(n)}"
         out = joins.join(x, y, [at(a, "_a", k) for k in left], [at(b, "_b", k) for k in right], how, algorithm, nulls_equal=nulls_equal)
+        if sort:
+            pairs = [(col(at(a, "_a", x)), col(at(b, "_b", y))) for x, y in zip(left, right, strict=True)]
+            out = out.orderBy(*[(x if how in ("semi", "anti") else F.coalesce(x, y)).asc_nulls_last() for x, y in pairs])
         cols = [col(at(a, "_a", c)) for c in a.columns] + ([] if how in ("semi", "anti") else [col(at(b, "_b", c)) for c in b.columns])
         names = names[: len(cols)]
         if len(set(names)) < len(names):
@@ -614,9 +623,24 @@ class DataFrame:
 
     # --- aggregates ---
 
-    def groupby(self, by, groupby_type: str = "hash", dropna: bool = False, env: Env | None = None, **_) -> GroupBy:
-        """``groupby_type``: ``hash`` names results ``op_column``, ``mapred_hash`` ``column_op``, ``pipeline`` ``column``."""
-        return GroupBy(self, self._names(by), {"hash": "prefix", "mapred_hash": "suffix", "pipeline": "plain"}[groupby_type], dropna)
+    def groupby(self, by=None, groupby_type: str = "hash", dropna: bool = False, level=None, as_index: bool = False, sort: bool = False, env: Env | None = None) -> GroupBy:
+        """Groups by columns (``by``) or by labels (``level``, a name or position of one or several).
+
+        ``groupby_type``: ``hash`` names results ``op_column``, ``mapred_hash`` ``column_op``, ``pipeline`` ``column``.  With
+        ``as_index`` the keys of results are labels instead of columns; with ``sort`` results are in the order of the keys.
+        """
+        if (by is None) == (level is None):
+            raise ValueError("give either 'by' or 'level'")
+        frame = self
+        if level is not None:
+            wanted = [level] if isinstance(level, (str, int)) else list(level)
+            labels = self.index.names
+            by = [labels[k] if isinstance(k, int) else k for k in wanted]
+            if not labels or any(k not in labels for k in by):
+                raise KeyError(f"no label among {level!r}")
+            s = self._settled()
+            frame = self._of(s._src, [*((n, e) for n, (_, e) in zip(labels, s._index, strict=True)), *((c, e) for c, e in s._cols if c not in labels)])
+        return GroupBy(frame, frame._names(by), {"hash": "prefix", "mapred_hash": "suffix", "pipeline": "plain"}[groupby_type], dropna, None, as_index, sort)
 
     def agg(self, spec: Mapping, **kw) -> DataFrame:
         return self._apply(lambda p: aggregates.aggregate(p, spec, **kw))
@@ -685,7 +709,7 @@ class DataFrame:
     broadcast = allgather
 
     def row_counts_for_all(self, env: Env | None = None) -> list[int]:
-        """Rows of each partition that has any."""
+        """Rows of each partition that has any, a number a partition."""
         return [r.rows for r in partitioning.row_counts(self._src).orderBy("partition").collect()]
 
     def retain_memory(self, retain: bool = True) -> None:
@@ -727,18 +751,27 @@ def _together(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 class GroupBy:
     """A frame about to be aggregated by group."""
 
-    def __init__(self, frame: DataFrame, by: list[str], naming: str, dropna: bool = False, only: list[str] | None = None):
-        self._frame, self._by, self._naming, self._dropna = frame, by, naming, dropna
+    def __init__(self, frame: DataFrame, by: list[str], naming: str, dropna: bool = False, only: list[str] | None = None, as_index: bool = False, sort: bool = False):
+        self._frame, self._by, self._naming, self._dropna, self._as_index, self._sort = frame, by, naming, dropna, as_index, sort
         self._only = only or [c for c in frame.columns if c not in by]
 
     def __getitem__(self, columns) -> GroupBy:
-        return GroupBy(self._frame, self._by, self._naming, self._dropna, self._frame._names(columns))
+        return GroupBy(self._frame, self._by, self._naming, self._dropna, self._frame._names(columns), self._as_index, self._sort)
+
+    def _grouped(self, fn: Callable[[Plan], Plan]) -> DataFrame:
+        """What ``fn`` makes of the frame, a row a group, sorted and labelled as asked for."""
+        out = self._frame._apply(lambda p: fn(p.dropna(subset=self._by) if self._dropna else p))
+        if self._sort:
+            out = out.sort_values(self._by)
+        if self._as_index:
+            out.set_index(self._by if len(self._by) > 1 else self._by[0])
+        return out
 
     def agg(self, spec: Mapping | str | Sequence[str], q: float = 0.5, ddof: int = 1) -> DataFrame:
         if not isinstance(spec, Mapping):
             spec = {c: spec for c in self._only}
         spec = {self._frame._names(k)[0]: v for k, v in spec.items()}
-        return self._frame._apply(lambda p: aggregates.group_by(p, self._by, spec, self._naming, ddof, q, self._dropna))
+        return self._grouped(lambda p: aggregates.group_by(p, self._by, spec, self._naming, ddof, q))
 
     def __getattr__(self, op: str):
         if op in aggregates.OPS:
@@ -746,12 +779,62 @@ class GroupBy:
         raise AttributeError(op)
 
     def size(self) -> DataFrame:
-        return self._frame._apply(lambda p: aggregates.group_by(p, self._by, {}))
+        return self._grouped(lambda p: aggregates.group_by(p, self._by, {}))
 
     @property
     def groups(self) -> DataFrame:
         """The distinct keys."""
-        return self._frame._apply(lambda p: p.select(*[col(k) for k in self._by]).distinct())
+        return self._grouped(lambda p: p.select(*[col(k) for k in self._by]).distinct())
+
+    def _ordered(self, order_by) -> tuple[DataFrame, list[str]]:
+        """The frame with columns that order its rows: those given, or its positions, which cost a written copy."""
+        if order_by is not None:
+            return self._frame, self._frame._names(order_by)
+        s = self._frame._settled()
+        name = fresh(s._src, _ORDINAL)
+        return self._frame._of(sorting.with_ordinal(s._src, name), [*s._cols, (name, col(name))]), [name]
+
+    def _end(self, last: bool, order_by) -> DataFrame:
+        frame, order = self._ordered(order_by)
+        return GroupBy(frame, self._by, self._naming, self._dropna, self._only, self._as_index, self._sort)._grouped(lambda p: aggregates.ends(p, self._by, self._only, order, last))
+
+    def first(self, order_by=None) -> DataFrame:
+        """The first value that is not null of each column, in a stated order or that of the rows."""
+        return self._end(False, order_by)
+
+    def last(self, order_by=None) -> DataFrame:
+        """As ``first``, from the end."""
+        return self._end(True, order_by)
+
+    def _running(self, op: str, order_by) -> DataFrame:
+        frame, order = self._ordered(order_by)
+        kept = self._frame.columns
+        return frame._apply(lambda p: aggregates.running(p, self._by, self._only, op, order, self._dropna).select(*[col(c) for c in kept]))
+
+    def cumsum(self, order_by=None) -> DataFrame:
+        """Every row, its values replaced by the group's sums up to it; null where the row's own value is."""
+        return self._running("sum", order_by)
+
+    def cummin(self, order_by=None) -> DataFrame:
+        return self._running("min", order_by)
+
+    def cummax(self, order_by=None) -> DataFrame:
+        return self._running("max", order_by)
+
+    def cumprod(self, order_by=None) -> DataFrame:
+        return self._running("prod", order_by)
+
+    def cumcount(self, order_by=None) -> DataFrame:
+        """Every row, its values replaced by its number in the group, from 0."""
+        return self._running("count", order_by)
+
+    def idxmin(self, label) -> DataFrame:
+        """The value of column ``label`` in the row with each column's smallest value."""
+        return self._grouped(lambda p: aggregates.labels_of(p, self._by, self._only, label, False))
+
+    def idxmax(self, label) -> DataFrame:
+        """The value of column ``label`` in the row with each column's largest value."""
+        return self._grouped(lambda p: aggregates.labels_of(p, self._by, self._only, label, True))
 
     def nth(self, n: int, order_by) -> DataFrame:
         return self._frame._apply(lambda p: aggregates.nth(p, self._by, n, order_by))
@@ -799,6 +882,7 @@ class Index:
         return self.values.tolist()
 
     def isin(self, values: Sequence) -> list[bool]:
+        """A truth value a row, in the driver's memory; ``loc`` and masks are the ways that stay distributed."""
         f = self._frame
         if not f._index:
             return [i in set(values) for i in range(len(f))]

@@ -57,7 +57,7 @@ class Table(DataFrame):
 
     distributed_concat = concat
 
-    def join(self, table: DataFrame, join_type: str = "inner", algorithm: str | None = "sort", on=None, left_on=None, right_on=None, left_prefix: str = "", right_prefix: str = "") -> Table:  # type: ignore[override]
+    def join(self, table: DataFrame, join_type: str = "inner", algorithm: str | None = None, on=None, left_on=None, right_on=None, left_prefix: str = "", right_prefix: str = "") -> Table:  # type: ignore[override]
         """By columns given as names or positions; a name on both sides is prefixed (with both prefixes empty, names may repeat, so the right side's are numbered)."""
         if on is not None:
             left_on = right_on = on
