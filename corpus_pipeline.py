@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridframe.llm import language_id, mixing, near_copies, pieces, quality_rules
 from gridframe.llm.common import stored, tables
+from gridframe.session import discard, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = tables(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage stored is deleted once its rows are written. An empty table gives no rows."""
+    docs, kept = tables(spark, sf_dir, "documents"), written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{k}")
+            discard(spark, since=kept, keep=1)
     return docs

@@ -3,9 +3,10 @@
 Every document gets a random key, the MD5 of its id, so a source's documents in key order are a random permutation.  The
 leading hex digits split that order into key ranges; their word totals, added up before the shuffle, give each source's
 prefix sums without moving a document.  The range in which a source's budget ends is found twice, first among 256 ranges
-and then among the 4096 within it, and only that one small range is sorted: documents in earlier ranges are taken, those
-in later ones are not, and in it the running sum decides.  Whole epochs come first where a target exceeds its source.
-All of it is DataFrame functions.
+and then among the 4096 within it, and only that one small range is sorted, with rows of one id and size counted first:
+documents in earlier ranges are taken, those in later ones are not, and in it the running sum decides.  Whole epochs come
+first where a target exceeds its source.  All decisions are made on thin rows, whose words are counted once; the texts
+themselves meet only tables of a row a source and a row an id of the cut range.  All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Hex digits of the key that name a range, level by level.
 LEVELS = (2, 5)
-_NAMES = ["_gf_size", "_gf_key"]
 
 
 def size_of(text: Column) -> Column:
@@ -72,20 +72,50 @@ def cuts(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     return stored(t, "mixing-cuts")
 
 
-def decided(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` (with ``source`` and the helper columns) with ``_gf_times``, how often each document is taken.
+def at_cut(sizes: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of the cut ranges, a row for each source, key, id and size (``c_...``), with how many there are (``c_all``) and how many of them are taken (``c_take``).
 
-    A document at the cut is taken if at least half of it lies within the budget, which leaves the nearest sum of whole
-    documents.  Sources without a cut (``g`` follows all hex digits) are taken whole or not at all.
+    A document is taken if at least half of it lies within the budget, which leaves the nearest sum of whole documents; in
+    the order of the keys those taken come first.
     """
-    names = {c: F.col(c).alias(f"_gf_{c}") for c in found.columns}
-    both = rows.join(found.select(*names.values()), F.col("source").eqNullSafe(F.col("_gf_t_source")))
-    place = F.substring("_gf_key", 1, LEVELS[-1])
-    clear = both.filter(place != F.col("_gf_cut")).withColumn("_gf_times", F.col("_gf_epochs") + (place < F.col("_gf_cut")).cast("long"))
-    run = Window.partitionBy("_gf_t_source").orderBy("_gf_key", "doc_id", "_gf_size").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.col("_gf_before") + F.coalesce(F.sum("_gf_size").over(run), F.lit(0))
-    near = both.filter(place == F.col("_gf_cut")).withColumn("_gf_times", F.col("_gf_epochs") + (2 * done + F.col("_gf_size") <= 2 * F.col("_gf_rest")).cast("long"))
-    return clear.unionByName(near)
+    near = sizes.join(found, F.col("source").eqNullSafe(F.col("t_source"))).filter(_place() == F.col("cut"))
+    rows = near.groupBy("t_source", "_gf_key", "doc_id", "_gf_size", "rest", "before").agg(F.count("*").alias("n"))
+    run = Window.partitionBy("t_source").orderBy("_gf_key", "doc_id", "_gf_size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("_gf_size")).over(run), F.lit(0))
+    size = F.col("_gf_size")
+    most = F.when(size > 0, F.floor((2 * left + size) / (2 * size)).cast("long")).when(left >= 0, F.col("n")).otherwise(0)
+    take = F.greatest(F.lit(0).cast("long"), F.least(most, F.col("n")))
+    return rows.select(F.col("t_source").alias("c_source"), F.col("_gf_key").alias("c_key"), F.col("doc_id").alias("c_id"), size.alias("c_size"), F.col("n").alias("c_all"), take.alias("c_take"))
+
+
+def _place() -> Column:
+    return F.substring("_gf_key", 1, LEVELS[-1])
+
+
+def decided(rows: DataFrame, size: Column, found: DataFrame, near: DataFrame) -> DataFrame:
+    """``rows`` (with ``source``, ``doc_id`` and ``_gf_key``) with ``_gf_times``, how often each document is taken, and the columns of ``found``, marked.
+
+    ``size`` is only evaluated in the cut ranges.  Of rows alike in id and size of which a part is taken, any will do: they
+    are numbered by their partitions, so that no task has to hold them.  Sources without a cut (``g`` follows all hex
+    digits) are taken whole or not at all.
+    """
+    both = rows.join(found.select(*[F.col(c).alias(f"_gf_{c}") for c in found.columns]), F.col("source").eqNullSafe(F.col("_gf_t_source")))
+    both = both.withColumn("_gf_at", F.when(_place() == F.col("_gf_cut"), size))
+    near = near.select(*[F.col(c).alias(f"_gf_{c}") for c in near.columns])
+    same = (F.col("_gf_at") == F.col("_gf_c_size")) & (F.col("_gf_key") == F.col("_gf_c_key")) & F.col("doc_id").eqNullSafe(F.col("_gf_c_id")) & F.col("source").eqNullSafe(F.col("_gf_c_source"))
+    both = both.join(near, same, "left")
+    part = F.coalesce((F.col("_gf_c_take") > 0) & (F.col("_gf_c_take") < F.col("_gf_c_all")), F.lit(False))
+    inside = F.when(F.col("_gf_at").isNull(), _place() < F.col("_gf_cut")).otherwise(F.col("_gf_c_take") > 0)
+    out = both.filter(~part).withColumn("_gf_times", F.col("_gf_epochs") + inside.cast("long"))
+    if near.filter("_gf_c_take > 0 AND _gf_c_take < _gf_c_all").isEmpty():
+        return out
+    split = stored(both.filter(part).withColumn("_gf_row", F.monotonically_increasing_id()), "mixing-split").withColumn("_gf_part", F.shiftright("_gf_row", 33))
+    counts = split.groupBy(F.col("_gf_t_source").alias("_gf_p_source"), F.col("_gf_part").alias("_gf_p_part")).agg(F.count("*").alias("_gf_p_n"))
+    before = counts.withColumn("_gf_p_before", F.sum("_gf_p_n").over(Window.partitionBy("_gf_p_source").orderBy("_gf_p_part")) - F.col("_gf_p_n"))
+    number = F.col("_gf_p_before") + F.row_number().over(Window.partitionBy("_gf_t_source", "_gf_part").orderBy("_gf_row"))
+    split = split.join(before, F.col("_gf_t_source").eqNullSafe(F.col("_gf_p_source")) & (F.col("_gf_part") == F.col("_gf_p_part")))
+    split = split.withColumn("_gf_times", F.col("_gf_epochs") + (number <= F.col("_gf_c_take")).cast("long"))
+    return out.unionByName(split.select(*out.columns))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -96,24 +126,26 @@ def sized(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``, ``source``; others ignored) with the words the mix takes.
 
-    A null or empty text has size 0; null sources are one source, the last; null ids are told apart by their text;
-    repeated rows are separate documents; an empty table gives none.
+    A null or empty text has size 0; null sources are one source, the last; null ids are told apart by their text; repeated
+    rows are separate documents, of which any may be the one that is taken; very long texts count whole; an empty table
+    gives none.
     """
     sizes = sized(docs)
     found = cuts(sizes, weights, cap)
-    return decided(sizes, found).select("doc_id", F.col("_gf_size").alias("size"), F.col("_gf_source_size").alias("source_size"), F.col("_gf_target").alias("target"), (F.col("_gf_size") * F.col("_gf_times")).alias("taken"))
+    out = decided(sizes, F.col("_gf_size"), found, stored(at_cut(sizes, found), "mixing-near"))
+    return out.select("doc_id", F.col("_gf_size").alias("size"), F.col("_gf_source_size").alias("source_size"), F.col("_gf_target").alias("target"), (F.col("_gf_size") * F.col("_gf_times")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` as often as the mix takes them, all columns kept."""
-    found = cuts(sized(docs), weights, cap)
-    rows = docs.withColumns({"_gf_size": size_of(F.col("text")), "_gf_key": key_of()})
-    taken = decided(rows, found).filter("_gf_times > 0")
-    return taken.withColumn("_gf_epoch", F.explode(F.sequence(F.lit(1), F.col("_gf_times")))).select(*docs.columns)
+    """The mixed corpus: rows of ``docs`` as often as the mix takes them, all columns kept; odd rows as in ``mixture``."""
+    sizes = sized(docs)
+    found = cuts(sizes, weights, cap)
+    taken = decided(docs.withColumn("_gf_key", key_of()), size_of(F.col("text")), found, stored(at_cut(sizes, found), "mixing-near")).filter("_gf_times > 0")
+    return taken.withColumn("_gf_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_gf_times")))).select(*docs.columns)
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
-    """The production query: weights 1, 2, 3 and at most 3 epochs."""
+    """The production query: weights 1, 2, 3 and at most 3 epochs; rows as ``mixture`` says."""
     return mixture(docs)
 
 

@@ -326,6 +326,22 @@ def test_mixing(odd, none, docs):
     assert mixing.op6_mixing(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_of_a_hot_id(spark):
+    """Rows of one id, and rows without one and of equal text, of which a part is taken."""
+    kind = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id"))
+    df = spark.range(600).select(kind.alias("doc_id"), F.when(F.col("id") % 6 == 0, "a b c d e").otherwise("x y z").alias("text"), F.when(F.col("id") % 3 == 1, "b").when(F.col("id") < 500, "a").alias("source")).repartition(5)
+    rows = [(r.doc_id, r.text, r.source) for r in df.collect()]
+    size, by, goal, times = naive.mixture(rows)
+    assert got(mixing.op6_mixing(df), "doc_id", "size", "taken") == by_rows((i, n, n * t) for (i, _, _), n, t in zip(rows, size, times, strict=True))
+    sizes = mixing.sized(df)
+    near = mixing.at_cut(sizes, mixing.cuts(sizes)).collect()
+    assert any(0 < r.c_take < r.c_all for r in near)
+    expected = Counter()
+    for r, t in zip(rows, times, strict=True):
+        expected[r] += t
+    assert Counter((r.doc_id, r.text, r.source) for r in mixing.mix(df).collect()) == +expected
+
+
 def test_mixing_is_near_its_targets_and_repeats_itself(spark, docs):
     out = mixing.op6_mixing(docs)
     for r in out.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect():
