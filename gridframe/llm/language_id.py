@@ -108,14 +108,10 @@ class Profiles:
 def learn(docs: DataFrame, fit: int = FIT) -> Profiles:
     """Profiles from rows of ``docs`` with a ``lang`` and letters in their ``text``; rows may be filtered beforehand."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    n = known.groupBy("lang").agg(F.count("*").alias("n"))
-    bound = {r.lang: min(1.0, fit / r.n) for r in n.toLocalIterator()}
-    if not bound:
-        return Profiles({})
+    share = known.groupBy(F.col("lang").alias("l_lang")).agg(F.least(F.lit(1.0), F.lit(float(fit)) / F.count("*")).alias("share"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.col("text").cast("binary")))).cast("binary"))
     unit = F.conv(F.substring(key, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]), F.col("lang"))
-    part = known.filter(unit < share).select("lang", "text")
+    part = known.join(share, F.col("lang") == F.col("l_lang")).filter(unit < F.col("share")).select("lang", "text")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         langs, keys, counts = [], [], []
@@ -155,8 +151,9 @@ def predict(docs: DataFrame, profiles: Profiles, min_score: float | None = None)
     return map_batches(found, run, schema)
 
 
-#: Ordinary prose scores far above; this only takes out texts whose letters fit no learned language.
-MIN_SCORE = 0.05
+#: Between the scores of texts in languages that were learned (0.36 at least over 51,282 documents, of which the shortest have
+#: one word) and those of random Latin letters or of Latin-script languages that were not (about 0.14 to 0.23).
+MIN_SCORE = 0.3
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
