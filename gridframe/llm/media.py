@@ -196,6 +196,32 @@ def as_media(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", utf8().alias("text")), run, schema)
 
 
+def read_media(images: DataFrame) -> DataFrame:
+    """``doc_id``, ``hash``, ``payload_bytes``, ``payload_sha256`` and ``fault`` of each row of ``images`` (``doc_id``, ``media``; others ignored).
+
+    A missing or damaged image has nulls and a ``fault`` that says why; others have a null ``fault``.  Null ids and repeated
+    rows pass through; an empty table gives none.
+    """
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for m in b.column("media"):
+            try:
+                if not m.is_valid:
+                    raise ValueError("no image")
+                pixels = decode(m.as_py())
+                back = pixels.tobytes()
+                rows.append((dct_hash(pixels), len(back), hashlib.sha256(back).hexdigest(), None))
+            except (ValueError, struct.error, zlib.error) as e:
+                rows.append((None, None, None, str(e) or type(e).__name__))
+        cols = zip(*rows, strict=True)
+        arrays = [pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], ["doc_id", "hash", "payload_bytes", "payload_sha256", "fault"])
+
+    kind = images.schema["doc_id"].dataType.simpleString()
+    return map_batches(images.select("doc_id", "media"), run, f"doc_id {kind}, hash binary, payload_bytes long, payload_sha256 string, fault string")
+
+
 def op5_media(docs: DataFrame) -> DataFrame:
     """The digest of ``as_media``: the feature is the cosine hash as hex digits."""
     from pyspark.sql import functions as F

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gridframe.llm.common import fold, map_batches, utf8
 
-#: Labelled rows that the model is fitted on (expected number at most).
+#: Labelled ids that the model is fitted on, at most.
 FIT = 20_000
 BINS, COARSE = 32, 8
 ROUNDS, PAIR_ROUNDS, RATE, PAIRS = 250, 120, 0.08, 6
@@ -167,17 +167,19 @@ def _below(share: float) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, fit: int = FIT) -> Model:
     """A model from the texts of ``docs`` that ``labels`` (rows to learn from) marks 0 or 1.
 
-    The sampled labels are bounded by ``fit``, so they are broadcast; features are made on the executors.
+    At most ``fit`` labelled ids, the first by hash, are broadcast.  An id labelled both ways is good; of several texts of one
+    id the one of the smallest features is taken.  Features are made on the executors.
     """
-    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL")
-    part = known.filter(_below(fit / max(1, known.count()))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+    part = known.filter(_below(2 * fit / max(1, known.count()))).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(fit)
     rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(part), "doc_id").select("doc_id", "text", "y")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = _matrix(b.column("text").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("y")], ["x", "y"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64())), b.column("y")], ["doc_id", "x", "y"])
 
-    found = map_batches(rows, run, "x array<double>, y int").toArrow()
+    found = map_batches(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>, y int")
+    found = found.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).select("x", "y").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(NAMES))
     y = found.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((y, *x.T))  # sums do not depend on where rows came from
@@ -198,8 +200,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def op3_quality_model(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for each row of ``docs`` (``doc_id``, ``text``).
 
-    Learned from labels outside the held-out fifth.  A null text is scored as an empty one; labels that are null or of
-    unknown ids are ignored; null ids and repeated rows pass through; an empty table gives none.
+    Learned from labels outside the held-out fifth.  A null text is scored as an empty one, a very long text whole; labels
+    that are null or of unknown ids are ignored; null ids and repeated rows pass through; an empty table gives none, and
+    without labels of both kinds all scores are the share of label 1.
     """
     model = learn(docs.select("doc_id", "text"), labels.filter(fold("doc_id", 5) != 0))
     return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

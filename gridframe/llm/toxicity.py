@@ -6,9 +6,12 @@ classifier over words is fitted with numpy under the risk estimator that correct
     pi * R+(positive)  +  max(0, R-(unlabelled) - pi * R-(positive))
 
 with the sigmoid loss; where the second part would turn negative, the step goes the other way, so that a flexible
-classifier cannot fit the unlabelled toxic texts as clean.  ``pi`` is the share of confirmed toxic texts among labelled
-rows.  Features are the presence of a word, and of one, two or three distinct words with a common beginning, which
-catches inflected and compound forms.
+classifier cannot fit the unlabelled toxic texts as clean.  ``pi`` is estimated without any clean label: a share ``pi`` of
+the unlabelled texts are like the confirmed ones, so a feature of the confirmed ones is at least ``pi`` times as frequent
+among the unlabelled, and the least such ratio over common features bounds ``pi`` and comes near it where a feature is
+peculiar to toxic texts.  Features are the presence of a word, and of one, two or three distinct words with a common
+beginning, which catches inflected and compound forms.  They are made, counted and ranked on the executors; the driver gets
+the ``FEATURES`` best, and which of them each sampled text has.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import fold, map_batches
+from gridframe.llm.common import fold, map_batches, stored
 
-#: Expected numbers of rows that the classifier is fitted on.
+#: The classifier is fitted on the texts of so many toxic ids at most, and on so many distinct unlabelled texts (expected number).
 FIT_TOXIC, FIT_OTHER = 2_000, 3_000
 #: Features that the classifier looks at, and lengths of beginnings.
 FEATURES = 768
@@ -64,8 +67,8 @@ class Classifier:
     def _known(self, own: set[str]):
         yield from own & self.weights.keys()
         for n in PREFIXES:
-            if found := {w[:n] for w in own} & self.starts:
-                counts = Counter(w[:n] for w in own if w[:n] in found)
+            if found := {w[:n] for w in own if len(w) >= n} & self.starts:
+                counts = Counter(w[:n] for w in own if len(w) >= n and w[:n] in found)
                 for p, c in counts.items():
                     for k in range(1, min(c, 3) + 1):
                         if (f := p + "*" * k) in self.weights:
@@ -76,11 +79,15 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def _least(n: int) -> int:
+    """In how many of ``n`` toxic texts a feature has to be."""
+    return max(3, n // 150)
+
+
 def choose(toxic: list[set], other: list[set], most: int = FEATURES) -> list[str]:
     """The features whose presence says most for confirmed toxic texts: chi-square of presence, rare ones left out."""
     p = Counter(f for d in toxic for f in features(d))
-    least = max(3, len(toxic) // 150)
-    p = Counter({f: n for f, n in p.items() if n >= least})
+    p = Counter({f: n for f, n in p.items() if n >= _least(len(toxic))})
     u = Counter(f for d in other for f in set(features(d)) & p.keys())
 
     def gain(w: str) -> float:
@@ -92,11 +99,16 @@ def choose(toxic: list[set], other: list[set], most: int = FEATURES) -> list[str
     return sorted(kept, key=lambda w: (-gain(w), w))[:most]
 
 
-def train(toxic: list[set], other: list[set], prior: float, rounds: int = ROUNDS) -> Classifier:
-    """The non-negative risk minimised by Adam over all rows at once; without toxic examples every score is low."""
+def prior_of(xp: np.ndarray, xu: np.ndarray) -> float:
+    """The estimate of ``pi`` from presence in toxic and unlabelled texts, over features of a twentieth of the toxic ones."""
+    p, u = xp.mean(axis=0), (xu.sum(axis=0) + 1) / (len(xu) + 1)
+    common = p >= max(0.05, 10 / max(1, len(xp)))
+    return float(np.clip((u[common] / p[common]).min(), 0.01, 0.5)) if common.any() else 0.1
+
+
+def train(toxic: list[set], other: list[set], prior: float | None = None, rounds: int = ROUNDS) -> Classifier:
+    """``fit`` on texts that are given as sets of words."""
     names = choose(toxic, other) if toxic and other else []
-    if not names:
-        return Classifier({}, np.empty(0), -4.0)
     at = {w: i for i, w in enumerate(names)}
 
     def matrix(rows: list[set]) -> np.ndarray:
@@ -105,7 +117,14 @@ def train(toxic: list[set], other: list[set], prior: float, rounds: int = ROUNDS
             x[r, [at[f] for f in features(d) if f in at]] = 1
         return x
 
-    xp, xu = matrix(toxic), matrix(other)
+    return fit(names, matrix(toxic), matrix(other), prior, rounds)
+
+
+def fit(names: list[str], xp: np.ndarray, xu: np.ndarray, prior: float | None = None, rounds: int = ROUNDS) -> Classifier:
+    """The non-negative risk minimised by Adam over all rows at once; without toxic examples or features every score is low."""
+    if not names:
+        return Classifier({}, np.empty(0), -4.0)
+    prior = prior_of(xp, xu) if prior is None else prior
     lift = np.log((xp.mean(0) + 1e-3) / (xu.mean(0) + 1e-3)).astype(np.float32)
     w, b = 0.5 * lift, -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -128,7 +147,7 @@ def train(toxic: list[set], other: list[set], prior: float, rounds: int = ROUNDS
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - float(step[-1])
-    return Classifier(at, w, b)
+    return Classifier({f: i for i, f in enumerate(names)}, w, b)
 
 
 def _below(share: float, *cols: str) -> Column:
@@ -137,27 +156,64 @@ def _below(share: float, *cols: str) -> Column:
     return unit < share
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """A classifier from texts of ``docs`` as unlabelled ones and those that ``labels`` (rows to learn from) calls toxic.
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``words``, ``toxic``, ``other`` of the distinct texts to learn from, stored.
 
-    The sampled toxic ids are bounded by ``FIT_TOXIC`` and so can be broadcast: one pass over the texts, no shuffle.  The
-    unlabelled sample is drawn from all texts, as the estimator supposes.  Word sets are made on the executors.
+    At most ``FIT_TOXIC`` toxic ids, the first by hash, are broadcast: one pass over the texts, no shuffle of them.  Of the
+    texts of one id the one of the fewest words, by order, is taken.  The unlabelled sample is drawn from all texts, as the
+    estimator supposes, and copies count once.  Word sets are made on the executors.
     """
-    n = labels.agg(F.count("toxic").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    prior = min(0.5, max(0.01, n.t / max(1, n.n)))
-    ids = labels.filter("toxic = 1").filter(_below(FIT_TOXIC / max(1, n.t), "doc_id")).select(F.col("doc_id").alias("t_id")).distinct()
+    toxic = labels.filter("toxic = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("t_id")).distinct()
+    unit = F.xxhash64("t_id", F.lit(SEED))
+    ids = toxic.filter(_below(2 * FIT_TOXIC / max(1, toxic.count()), "t_id")).orderBy(unit, "t_id").limit(FIT_TOXIC)
     other = _below(FIT_OTHER / max(1, docs.count()), "doc_id", "text")
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("toxic"), other.alias("other"))
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left").select("text", "t_id", other.alias("other"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [sorted(words(t)) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column("toxic"), b.column("other")], ["words", "toxic", "other"])
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column("t_id"), b.column("other")], ["words", "t_id", "other"])
+
+    found = stored(map_batches(rows.filter("t_id IS NOT NULL OR other"), run, f"words array<string>, t_id {kind}, other boolean"), "toxicity-words")
+    of_id = found.filter("t_id IS NOT NULL").groupBy("t_id").agg(F.min(F.struct(F.size("words").alias("n"), "words")).alias("w")).select("w.words", F.lit(True).alias("toxic"), F.lit(False).alias("other"))
+    others = found.filter("other").select("words", F.lit(False).alias("toxic"), F.lit(True).alias("other")).distinct()
+    return stored(of_id.unionByName(others), "toxicity-sample")
+
+
+def best(sample: DataFrame, n: int, m: int, most: int = FEATURES) -> list[str]:
+    """What ``choose`` gives for ``n`` toxic and ``m`` other texts, counted batch by batch on the executors."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        p, u = Counter(), Counter()
+        for own, toxic in zip(b.column("words").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            (p if toxic else u).update(features(set(own)))
+        names = list(p.keys() | u.keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([p[w] for w in names], pa.int64()), pa.array([u[w] for w in names], pa.int64())], ["feature", "p", "u"])
+
+    found = map_batches(sample, run, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    a, b, both = F.col("p") / n, F.col("u") / m, (F.col("p") + F.col("u")) / (n + m)
+    found = found.filter((F.col("p") >= _least(n)) & (F.col("p") * m > 2 * F.col("u") * n))
+    gain = (a - b) * (a - b) / (both * (1 - both) + 1e-9)
+    return [r.feature for r in found.orderBy(F.desc(gain), "feature").limit(most).select("feature").collect()]
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """A classifier from texts of ``docs`` as unlabelled ones and those that ``labels`` (rows to learn from) calls toxic."""
+    sample = sampled(docs, labels)
+    counts = sample.agg(F.count_if("toxic").alias("n"), F.count_if("other").alias("m")).first()
+    names = best(sample, counts.n, counts.m) if counts.n and counts.m else []
+    at = {w: i for i, w in enumerate(names)}
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted(at[f] for f in features(set(own)) if f in at) for own in b.column("words").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column("toxic")], ["on", "toxic"])
 
-    found = map_batches(rows.filter("toxic OR other"), run, "words array<string>, toxic boolean, other boolean")
-    sample = found.toArrow().to_pydict()
-    order = sorted(range(len(sample["words"])), key=lambda i: (sample["words"][i], sample["toxic"][i]))  # sums do not depend on where rows came from
-    sets = {i: set(sample["words"][i]) for i in order}
-    return train([sets[i] for i in order if sample["toxic"][i]], [sets[i] for i in order if sample["other"][i]], prior)
+    rows = sorted((tuple(r.on), r.toxic) for r in map_batches(sample, run, "on array<int>, toxic boolean").collect()) if names else []  # sums do not depend on where rows came from
+    x = {kind: np.zeros((sum(t == kind for _, t in rows), len(names)), np.float32) for kind in (True, False)}
+    for kind, own in x.items():
+        for r, on in enumerate(o for o, t in rows if t == kind):
+            own[r, list(on)] = 1
+    return fit(names, x[True], x[False])
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
@@ -174,8 +230,9 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for each row of ``docs`` (``doc_id``, ``text``).
 
-    Learned from labels outside the held-out third.  A null or empty text has no words and gets the score of none; labels
-    that are null or of unknown ids are ignored; null ids and repeated rows pass through; an empty table gives none.
+    Learned from labels outside the held-out third.  A null or empty text has no words and gets the score of none; a very
+    long text counts whole; labels that are null or of unknown ids are ignored, and one of several for an id is enough; null
+    ids and repeated rows pass through; an empty table gives none, and without toxic labels every score is low.
     """
     model = learn(docs.select("doc_id", "text").filter(fold("doc_id", 3) != 1), labels.filter(fold("doc_id", 3) != 1))
     return score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
