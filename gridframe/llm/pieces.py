@@ -413,6 +413,8 @@ def op8_sentencepiece(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     """The digest of ``encode`` and ``decode``: ``doc_id``, ``n_bytes``, ``n_ids``, ``ids_crc32`` (of the ids as little-endian 32-bit integers), ``round_trip``.
 
     ``round_trip`` says whether decoding gives the text back; only texts that hold the space mark U+2581 itself differ.
+    A null text counts as empty: no bytes, no ids, checksum 0.  Very long texts count whole; null ids and repeated rows pass
+    through, a row each; other columns are ignored; an empty table gives none.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -430,5 +432,5 @@ def op8_sentencepiece(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
 
 def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The pipeline's last stage: ids and their number."""
+    """The pipeline's last stage: ``doc_id``, ``ids``, ``n_ids`` (0 for a null or empty text) of each row, repeated ones too; an empty table gives none."""
     return encode(docs, vocabulary).withColumn("n_ids", F.size("ids").cast("long"))

@@ -172,5 +172,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
 
 
 def op9_token_counts(docs: DataFrame) -> DataFrame:
-    """The production query: ``byte_bpe_50k.json`` and 1024 tokens."""
+    """The production query: ``byte_bpe_50k.json`` and 1024 tokens; odd rows as ``token_counts`` states."""
     return token_counts(docs)

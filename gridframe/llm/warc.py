@@ -88,7 +88,7 @@ def levels_of(*replicas: DataFrame) -> int:
 
 
 def tree(records: DataFrame, levels: int) -> DataFrame:
-    """``file``, ``file_root`` and the levels ``l1`` (leaves) to ``l<levels>`` (one node), arrays of hashes."""
+    """``file``, ``file_root`` and the levels ``l1`` (leaves) to ``l<levels>`` (one node), arrays of hashes; a row a file, none for no records."""
     entry = F.struct("ordinal", F.concat_ws(":", "record_offset", "length", "sha256").alias("e"))
     out = records.groupBy("file").agg(F.array_sort(F.collect_list(entry)).alias("e")).select("file", F.transform("e", lambda x: x["e"]).alias("l0"))
     for k in range(levels):
