@@ -62,10 +62,12 @@ def rename(df: DataFrame, to: Mapping[str, str] | Sequence[str]) -> DataFrame:
 
 
 def add_prefix(df: DataFrame, text: str) -> DataFrame:
+    """``text`` before every column's name; cells stay as they are."""
     return df.toDF(*[text + c for c in df.columns])
 
 
 def add_suffix(df: DataFrame, text: str) -> DataFrame:
+    """``text`` after every column's name; cells stay as they are."""
     return df.toDF(*[c + text for c in df.columns])
 
 
@@ -142,6 +144,7 @@ def math(df: DataFrame, op: str, value) -> DataFrame:
 
 
 def negate(df: DataFrame) -> DataFrame:
+    """Every cell with the other sign; nulls stay null."""
     return each(df, lambda c, _: -c)
 
 
@@ -151,6 +154,7 @@ def is_null(df: DataFrame) -> DataFrame:
 
 
 def not_null(df: DataFrame) -> DataFrame:
+    """Per cell, the opposite of ``is_null``: never null itself."""
     return invert(is_null(df))
 
 
