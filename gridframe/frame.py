@@ -613,7 +613,7 @@ class DataFrame:
             out = setops.unique(s._src, names)
         else:
             name = fresh(s._src, _ORDINAL)
-            out = setops.unique(sorting.with_ordinal(s._src, name), names, keep, name)
+            out = setops.unique(sorting.placed(s._src, name), names, keep, name)
         return self._result(self._of(out, s._cols, [] if ignore_index else s._index), inplace)
 
     def unique(self, columns=None, keep: str = "first", inplace: bool = False) -> DataFrame:
@@ -787,12 +787,12 @@ class GroupBy:
         return self._grouped(lambda p: p.select(*[col(k) for k in self._by]).distinct())
 
     def _ordered(self, order_by) -> tuple[DataFrame, list[str]]:
-        """The frame with columns that order its rows: those given, or its positions, which cost a written copy."""
+        """The frame with columns that order its rows: those given, or one in the order of its rows."""
         if order_by is not None:
             return self._frame, self._frame._names(order_by)
         s = self._frame._settled()
         name = fresh(s._src, _ORDINAL)
-        return self._frame._of(sorting.with_ordinal(s._src, name), [*s._cols, (name, col(name))]), [name]
+        return self._frame._of(sorting.placed(s._src, name), [*s._cols, (name, col(name))]), [name]
 
     def _end(self, last: bool, order_by) -> DataFrame:
         frame, order = self._ordered(order_by)

@@ -47,6 +47,11 @@ def tail(df: DataFrame, n: int, by: Key | Sequence[Key], ascending: bool | Seque
 top_k = head
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with numbers that grow in the order of its rows, with gaps: enough to compare places, without a copy or a job."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def with_ordinal(df: DataFrame, name: str = "ordinal", by: Key | Sequence[Key] | None = None, ascending: bool | Sequence[bool] = True, na_position: str | None = None) -> DataFrame:
     """``df`` with each row's position from 0, in the order of ``by`` or else of the source; a column ``name`` is replaced.
 
