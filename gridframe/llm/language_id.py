@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import fold, map_batches
+from gridframe.llm.common import fold, map_batches, stored
 
 PROFILE = 300
 #: Documents of a language that profiles are learned from (expected number).
@@ -109,6 +109,7 @@ def learn(docs: DataFrame, fit: int = FIT) -> Profiles:
     """Profiles from rows of ``docs`` with a ``lang`` and letters in their ``text``; rows may be filtered beforehand."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     share = known.groupBy(F.col("lang").alias("l_lang")).agg(F.least(F.lit(1.0), F.lit(float(fit)) / F.count("*")).alias("share"))
+    share = stored(share, "language-shares")  # a row a language, whose size Spark then knows: the texts are not shuffled to meet it
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.col("text").cast("binary")))).cast("binary"))
     unit = F.conv(F.substring(key, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
     part = known.join(share, F.col("lang") == F.col("l_lang")).filter(unit < F.col("share")).select("lang", "text")
