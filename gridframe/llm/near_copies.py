@@ -222,7 +222,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min(F.struct(*key, "shards")).alias("r"))
     nodes = stored(nodes.select("node", *[f"r.{k}" for k in key], "r.shards"), "near-nodes")
     members = stored(_shared(nodes), "near-members")
-    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", *key)
+    chosen = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", *key), "near-chosen")  # broadcast if it is small
     texts = docs.select("doc_id", "text").withColumns(key).join(chosen, list(key)).select("node", "text")
     sets = stored(_sets(texts).groupBy("node").agg(F.first(F.struct("fp", "shingles")).alias("s")).select("node", "s.*"), "near-sets")
     groups = stored(components(links(members, sets)).withColumnRenamed("node", "n"), "near-groups")
