@@ -8,10 +8,10 @@ classifier over words is fitted with numpy under the risk estimator that correct
 with the sigmoid loss; where the second part would turn negative, the step goes the other way, so that a flexible
 classifier cannot fit the unlabelled toxic texts as clean.  ``pi`` is estimated without any clean label: a share ``pi`` of
 the unlabelled texts are like the confirmed ones, so a feature of the confirmed ones is at least ``pi`` times as frequent
-among the unlabelled, and the least such ratio over common features bounds ``pi`` and comes near it where a feature is
-peculiar to toxic texts.  Features are the presence of a word, and of one, two or three distinct words with a common
-beginning, which catches inflected and compound forms.  They are made, counted and ranked on the executors; the driver gets
-the ``FEATURES`` best, and which of them each sampled text has.
+among the unlabelled, and the least such ratio bounds ``pi`` and comes near it where features are peculiar to toxic texts.
+Features are the presence of a word, and of one, two or three distinct words with a common beginning, which catches
+inflected and compound forms.  They are made, counted and ranked on the executors; the driver gets the ``FEATURES`` best,
+and which of them each sampled text has.
 """
 
 from __future__ import annotations
@@ -100,10 +100,16 @@ def choose(toxic: list[set], other: list[set], most: int = FEATURES) -> list[str
 
 
 def prior_of(xp: np.ndarray, xu: np.ndarray) -> float:
-    """The estimate of ``pi`` from presence in toxic and unlabelled texts, over features of a twentieth of the toxic ones."""
+    """The estimate of ``pi`` from presence in toxic and unlabelled texts.
+
+    Features are joined into events, one after another in the order of the ratio; of the events that at least half of the
+    toxic texts have (or else of all features together) the least ratio counts, which single features would bias downward.
+    """
     p, u = xp.mean(axis=0), (xu.sum(axis=0) + 1) / (len(xu) + 1)
-    common = p >= max(0.05, 10 / max(1, len(xp)))
-    return float(np.clip((u[common] / p[common]).min(), 0.01, 0.5)) if common.any() else 0.1
+    order = np.argsort(u / np.maximum(p, 1e-9), kind="stable")
+    has = [np.maximum.accumulate(x[:, order] > 0, axis=1).mean(axis=0) for x in (xp, xu)]
+    enough = has[0] >= min(0.5, has[0][-1])
+    return float(np.clip((has[1][enough] / has[0][enough]).min(), 0.01, 0.5))
 
 
 def train(toxic: list[set], other: list[set], prior: float | None = None, rounds: int = ROUNDS) -> Classifier:
