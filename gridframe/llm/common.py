@@ -55,12 +55,17 @@ def utf8(c: str = "text") -> Column:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch for each input batch."""
+    return map_parts(df, lambda b: iter((fn(b),)), schema)
+
+
+def map_parts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with the output batches that ``fn`` gives one after the other for each input batch."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield fn(b)
+                yield from fn(b)
         release()
 
     return df.mapInArrow(run, schema)

@@ -19,13 +19,17 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import map_batches
+from gridframe.llm.common import map_batches, map_parts
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Characters of documents taken together, bytes of one index, and bytes whose edges are relaxed at once.
@@ -37,6 +41,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _NONE = 1 << 30
+_whole = itemgetter(0)  # the text of a match
 
 
 def _fields(data: bytes):
@@ -178,12 +183,22 @@ def edges(v: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     """All occurrences of pieces in ``text`` as (start, length, id), sorted by position and length."""
     order, keys = suffix_array(text, v.words)
     low, high = occurrences(v, order, keys)
-    n = high - low
+    del keys
+    n, wide = high - low, v.longest + 1
     piece = np.repeat(np.arange(len(n)), n)
-    starts = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    sizes = v.sizes[piece]
-    by = np.argsort(starts * (v.longest + 1) + sizes)  # no two are equal
-    return starts[by], sizes[by], v.ids[piece[by]]
+    place = np.arange(len(piece))
+    place += np.repeat(low - (np.cumsum(n) - n), n)
+    # start, length and piece as one number, sorted in place; no two are equal
+    key = order[place]
+    del order, place
+    key *= wide
+    key += v.sizes[piece]
+    key *= len(n)
+    key += piece
+    key.sort()
+    piece = key % len(n)
+    key //= len(n) * wide
+    return key, v.sizes[piece], v.ids[piece]
 
 
 class Encoder:
@@ -192,15 +207,18 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         # a run of spaces and what follows, or the start of a text without the added space
-        self.cut = re.compile(r" +[^ ]*|[^ ]+").findall
+        self.cut = re.compile(r" +[^ ]*|[^ ]+").finditer
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        cut = [self.cut((" " if self.v.prefix and t else "") + t.replace(SPACE, " ")) for t in texts]
-        of = self.segment(set().union(*cut)).__getitem__
-        return [np.frombuffer(b"".join(map(of, own)), np.int32) for own in cut]
-
-    def segment(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each text; texts are held as numbers of words, since a string for each place of a word takes many times its text."""
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        cut = [np.fromiter(map(number.__getitem__, map(_whole, self.cut((" " if self.v.prefix and t else "") + t.replace(SPACE, " ")))), np.int32) for t in texts]
+        words = list(number)
+        del number
+        of = list(map(self.segment(words).__getitem__, words)).__getitem__
+        return [np.frombuffer(b"".join(map(of, memoryview(own))), np.int32) for own in cut]
+
+    def segment(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of each word, as bytes."""
         found: dict[str, bytes] = {}
         part: list[str] = []
@@ -385,18 +403,27 @@ def _groups(texts: pa.Array):
         yield part
 
 
+def coded(b: pa.RecordBatch, vocabulary: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id``, ``ids`` of the rows of ``b``, a batch for each group, so that no more ids are held than those of a group."""
+    at = 0
+    for part in _groups(b.column("text")):
+        ids = encoder(vocabulary).encode(part)
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), lists], ["doc_id", "ids"])
+        at += len(part)
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``ids`` for each row of ``docs`` (``doc_id``, ``text``; others ignored).
 
     A null text, like an empty one, has no ids; null ids and repeated rows pass through; an empty table gives none.
     """
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [x for part in _groups(b.column("text")) for x in encoder(vocabulary).encode(part)]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))], ["doc_id", "ids"])
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return coded(b, vocabulary)
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_parts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
